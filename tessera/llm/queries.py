@@ -108,7 +108,7 @@ def _licence_sql() -> str:
     p AS (SELECT doc_id, 'paragraph' AS unit, unnest(string_split_regex(coalesce(text, ''), '\\n[ \\t]*\\n')) AS raw,
                  generate_subscripts(string_split_regex(coalesce(text, ''), '\\n[ \\t]*\\n'), 1) - 1 AS unit_no FROM documents),
     u AS (SELECT doc_id, unit, unit_no, {norm} AS w FROM (SELECT * FROM l UNION ALL SELECT * FROM p WHERE contains(raw, chr(10)))),
-    b AS (SELECT doc_id, unit, unit_no, list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) AS b FROM u WHERE len(w) > 1),
+    b AS (SELECT doc_id, unit, unit_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM u WHERE len(w) > 1),
     s AS (SELECT doc_id, unit, unit_no, licence, template, len(list_intersect(b, tb)) AS shared,
                  2.0::DOUBLE * len(list_intersect(b, tb)) / (len(b) + len(tb)) AS dice
           FROM b JOIN t ON len(b) BETWEEN len(tb) * 0.8 / 1.2 - 1e-9 AND len(tb) * 1.2 / 0.8 + 1e-9)
