@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
 
 from tessera.functions.text import contains_ci, strip
 
@@ -60,8 +59,8 @@ def chunks(text: Column) -> Column:
         for series in texts:
             yield series.map(lambda t: split_text(t) if t else [])
 
-    # typed here, as workers import this module too
-    return F.pandas_udf(split, "array<string>", PandasUDFType.SCALAR_ITER)(text)
+    # made here and not on import, as workers without a session import this module too
+    return F.pandas_udf("array<string>")(split)(text)
 
 
 def fixed_windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:

@@ -10,6 +10,7 @@ from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
 class ModelClient(Protocol):
@@ -66,7 +67,7 @@ def with_response(df: DataFrame, make: Callable[[], ModelClient], system: str, p
     optimizer can't look into it.
     """
     at = df.columns.index(prompt)
-    schema = df.schema.add(column, "string")
+    schema = T.StructType([*df.schema.fields, T.StructField(column, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = make()

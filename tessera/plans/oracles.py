@@ -88,7 +88,9 @@ def _name_first(c: str) -> str:
 
 
 def _name_second(c: str) -> str:
-    return rf"lower({strip(f'''regexp_replace(replace({c}, chr(10), chr(32)), '\s+', ' ', 'g')''')})"
+    one_line = f"replace({c}, chr(10), chr(32))"
+    squeezed = f"regexp_replace({one_line}, '\\s+', ' ', 'g')"
+    return f"lower({strip(squeezed)})"
 
 
 _RESPONSES = """
