@@ -16,9 +16,10 @@ The search never compares all pairs:
    average, each on 42 or 43 bits.
 2. *Small groups* (up to ``small`` fingerprints on a variant): pairs are
    verified one by one.
-3. *Large groups* would have a quadratic number of pairs.  Their fingerprints
-   emit whole balls over all 64 bits: radius 1 (``near``) and radius 2
-   (``far``).  Members of one variant at radius 1 are linked to every member
+3. *Large groups* would have a quadratic number of pairs.  Their members are
+   verified against the smallest one.  Where that and step 2 leave a group in
+   several components, its fingerprints emit whole balls over all 64 bits:
+   radius 1 (near) and radius 2 (far).  Members of one variant at radius 1 are linked to every member
    at radius 2 by the triangle inequality, so a star around the smallest
    radius-1 member keeps the connectivity with a linear number of edges.
    Parity decides which side emits radius 2, and as two of any three bits lie
@@ -115,20 +116,26 @@ def _balls(fp: str = "fp") -> Column:
 def links(distinct: DataFrame, small: int = 6) -> DataFrame:
     """Edges ``(a, b)`` between distinct fingerprints ``fp``, whose paths are those of all links of distance <= 3."""
     keyed = distinct.select("fp", F.explode(_punctured()).alias("variant"))
-    shared = keyed.groupBy("variant").agg(F.count("*").alias("n")).where("n > 1")
+    shared = keyed.groupBy("variant").agg(F.count("*").alias("n"), F.min("fp").alias("centre")).where("n > 1")
     found = cut(keyed.join(shared, "variant"))
+    close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= RADIUS
     few = found.where(F.col("n") <= small).select("variant", "fp")
     pairs = (
         few.select("variant", F.col("fp").alias("a"))
         .join(few.select("variant", F.col("fp").alias("b")), "variant")
-        .where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS))
+        .where((F.col("a") < F.col("b")) & close("a", "b"))
         .select("a", "b")
     )
+    many = found.where(F.col("n") > small)
+    direct = many.where(close("fp", "centre") & (F.col("fp") != F.col("centre"))).select(F.col("fp").alias("a"), F.col("centre").alias("b"))
+    sure = cut(pairs.union(direct).distinct())
+    roots = components(sure).withColumnsRenamed({"node": "fp"})
+    rooted = cut(many.join(roots, "fp", "left").select("variant", "fp", F.coalesce("root", "fp").alias("root")))
+    # groups that lie within one component already have nothing to add
+    mixed = rooted.groupBy("variant").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    open_ = rooted.join(mixed.select("variant"), "variant", "left_semi").select("fp").distinct()
     ball = (
-        found.where(F.col("n") > small)
-        .select("fp")
-        .distinct()
-        .select("fp", F.explode(_balls()).alias("v"))
+        open_.select("fp", F.explode(_balls()).alias("v"))
         .select("fp", "v.variant", "v.far")
     )
     centres = (
@@ -137,7 +144,7 @@ def links(distinct: DataFrame, small: int = 6) -> DataFrame:
         .where("n > 1 and centre is not null")
     )
     stars = ball.join(centres, "variant").where("fp != centre").select(F.col("fp").alias("a"), F.col("centre").alias("b"))
-    return pairs.union(stars).distinct()
+    return sure.union(stars.distinct())
 
 
 def near_duplicates(
