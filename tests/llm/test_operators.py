@@ -126,6 +126,24 @@ def test_simhash_links(spark, small):
     assert {f: got.get(f, f) for f in fps} == {f: find(f) for f in fps}
 
 
+def test_simhash_variants(spark):
+    """Fingerprints within the radius share a variant, those far apart none."""
+    rng = random.Random(12)
+    for d in (0, 1, 2, 3, 12):
+        rows = []
+        for k in range(150):
+            a = b = rng.getrandbits(64)
+            for bit in rng.sample(range(64), d):
+                b ^= 1 << bit
+            rows += [(k, simhash._signed(a)), (k, simhash._signed(b))]
+        df = spark.createDataFrame(rows, "k long, fp long").select("k", "fp", simhash._punctured().alias("v"))
+        got = {}
+        for r in df.collect():
+            assert len(r["v"]) == len(set(r["v"])) <= 131
+            got.setdefault(r["k"], []).append(set(r["v"]))
+        assert [bool(x & y) for x, y in got.values()] == [d <= 3] * 150
+
+
 def test_licence_scan_equals_sql(spark, sf):
     assert compare(licences.scan(spark.read.parquet(f"{sf}/documents.parquet")), connect(sf), q.oracle_sql()["op2_license_scan"]) == ""
 
