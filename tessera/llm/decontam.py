@@ -133,12 +133,29 @@ def scan(index: Index, text: str | None) -> list[tuple[int, int, int, int]]:
     diagonal = np.repeat(spot, n)[keep] - index.place[posting[keep]]
     width = index.budget[item] + 1
     band = (diagonal + (1 << 30)) // width
+    # counts by a hash of item and band are never too small: most bands end here, without sorting
+    size = max(10, int(4 * len(item)).bit_length())
+    slot = lambda b: ((((item << 34) | b).astype(np.uint64) * _BASE) >> np.uint64(64 - size)).astype(np.int64)
+    at = slot(band)
+    table = np.bincount(at, minlength=1 << size)
+    own, bound = table[at], index.bound[item]
+    open_ = (own + table[slot(band + 1)] >= bound) | (own + table[slot(band - 1)] >= bound)
+    if not open_.any():
+        return []
+    item, band = item[open_], band[open_]
     # each hit counts in its own band and in the one before, which overlaps it
     key = np.concatenate([item << 34 | band, item << 34 | (band - 1)])
-    keys, counts = np.unique(key, return_counts=True)
+    keys, of, counts = np.unique(key, return_inverse=True, return_counts=True)
     owner = keys >> 34
-    best: dict[int, tuple[int, int, int]] = {}
     good = counts >= index.bound[owner]
+    if not good.any():
+        return []
+    # the bound is on q-grams of the item: one that hits several times in a band counts once
+    place = np.tile(index.place[posting[keep][open_]], 2)[good[of]]
+    longest = int(place.max()) + 1
+    once = np.unique(of[good[of]] * longest + place) // longest
+    good = np.bincount(once, minlength=len(keys)) >= index.bound[owner]
+    best: dict[int, tuple[int, int, int]] = {}
     for k, b in zip(owner[good].tolist(), (keys[good] & ((1 << 34) - 1)).tolist(), strict=True):
         if k in best and best[k][0] == 0:
             continue

@@ -88,12 +88,17 @@ def _flips(bits: range) -> Column:
     return F.array(*[F.lit(_signed(1 << b)) for b in bits])
 
 
+def _ball(centre: Column, flips: Column) -> Column:
+    # the lambda has one parameter only: a second would be bound to the index
+    return F.transform(flips, lambda x: centre.bitwiseXOR(x))
+
+
 def _punctured(fp: str = "fp") -> Column:
     """The variants of step 1."""
     out = []
     for k, block in enumerate(_BLOCKS):
         kept = F.col(fp).bitwiseAND(F.lit(_signed(_ALL ^ sum(1 << b for b in block))))
-        ball = F.transform(_flips([b for b in range(64) if b not in block]), lambda x, kept=kept: kept.bitwiseXOR(x))
+        ball = _ball(kept, _flips([b for b in range(64) if b not in block]))
         if k:
             ball = F.when(F.bit_count(kept) % 2 == 0, ball).otherwise(F.array().cast("array<bigint>"))
         out += [F.array(kept), ball]
