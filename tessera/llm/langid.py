@@ -98,9 +98,10 @@ def fit(
     The classifier is fitted on a bounded sample: the ``per_language`` rows of
     each language with the smallest hash of their id.  Partitions keep their
     own smallest first, so no language meets in one task, and only sampled
-    n-gram vectors reach the driver.
+    n-gram vectors reach the driver.  Rows without an id or a language teach nothing.
     """
-    keyed = rows.where("lang is not null").select("lang", F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col)).alias("h"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col(id_col).isNotNull())
+    keyed = rows.select("lang", F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col)).alias("h"))
 
     def least(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = None
@@ -115,7 +116,7 @@ def fit(
     chosen = part.withColumn("k", rank).where(F.col("k") <= per_language).select("doc_id").distinct()
     ids = sorted(r[0] for r in chosen.collect())  # per_language for each language
     spark = rows.sparkSession
-    sample = rows.where("lang is not null").join(
+    sample = rows.join(
         F.broadcast(spark.createDataFrame([(i,) for i in ids], f"{id_col} long")), id_col, "left_semi"
     )
 

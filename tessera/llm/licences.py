@@ -74,7 +74,7 @@ def scan(
     several lines, numbered over all paragraphs).  Ties go to the first licence
     in the alphabet, then to the first template.  A null or empty text has no
     unit; a template or unit of one word has no bigram and matches nothing;
-    rows that are repeated give a row each; long texts are scanned whole.
+    rows with one id, or without one, are one document; long texts are scanned whole.
     """
     rows, sizes = [], []
     for licence, texts in sorted((templates or TEMPLATES).items()):

@@ -62,6 +62,7 @@ def mix(
     id_col: str = "doc_id",
     source_col: str = "source",
     rows_a_bucket: int = 2_000,
+    carry: bool = False,
 ) -> DataFrame:
     """A place in the mix for every document: ``(doc_id, source, block, slot, release, deadline, position, in_mix)``.
 
@@ -72,14 +73,22 @@ def mix(
     hold exactly.  Without ``weights``, a source weighs its number of documents
     to the power ``temperature``.  Documents without a source are a source of
     their own, named ``""``; sources without weight get no place: null slot and
-    position, ``in_mix`` false.  Rows with equal ids are told apart arbitrarily;
-    an empty table gives an empty result.
+    position, ``in_mix`` false.  Each row has a place of its own: rows with equal
+    ids are told apart arbitrarily, and null ids count as equal.  An empty table
+    gives an empty result.  With ``carry``, the other columns of ``docs`` come
+    first, but for those with a name of the result's.
 
     Ranks within a source are counted by buckets of the hash, so a source with
     a third of all rows isn't sorted in one task.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"))
+    place = ["doc_id", "source", "block", "slot", "release", "deadline", "position", "in_mix"]
+    others = [c for c in docs.columns if c not in (*place, id_col, source_col)] if carry else []
+    rows = docs.select(
+        F.struct(F.lit(0), *[F.col(f"`{c}`") for c in others]).alias("row"),
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
+    )
     # as many rows as sources; more than slots of them is an error below
     counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).limit(slots + 1).collect()}
     total = sum(counts.values())
@@ -96,7 +105,7 @@ def mix(
     horizon = min(first_gap.values(), default=0)
 
     digits = max(1, ceil(log(max(2, total / rows_a_bucket), 16)))
-    hashed = rows.withColumn("h", F.md5(F.col("doc_id").cast("string").cast("binary"))).withColumn("bucket", F.substring("h", 1, digits))
+    hashed = rows.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn("bucket", F.substring("h", 1, digits))
     sizes = hashed.groupBy("source", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -111,6 +120,7 @@ def mix(
     with_round = placed.join(F.broadcast(shares_table), "source", "left").withColumn("ordinal", F.col("block") % F.col("n_round"))
     turn = F.floor(F.col("block") / F.col("n_round")).cast("long") * slots
     slotted = with_round.join(F.broadcast(round_.drop("n_round")), ["source", "ordinal"], "left").select(
+        *[F.col("row")[c].alias(c) for c in others],
         "doc_id",
         "source",
         "block",

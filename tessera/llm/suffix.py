@@ -197,14 +197,15 @@ def _deal(kind: str, bucket: np.ndarray, arrays: list[np.ndarray], out: tuple[li
             x.append(value)
 
 
-def _firsts(keys: list[np.ndarray], doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by key, document and place, and in it where a new key begins."""
+def _firsts(keys: list[np.ndarray], doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by key, document and place; in it where a new key begins, and what is a copy from another place."""
     o = np.lexsort((at, doc, *keys[::-1]))
     new = np.zeros(len(o), bool)
     new[:1] = True
     for k in keys:
         new[1:] |= k[o][1:] != k[o][:-1]
-    return o, new
+    lead = o[np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))]
+    return o, new, (doc[o] != doc[lead]) | (at[o] != at[lead])
 
 
 def _window_hashes(text: bytes, first: int, last: int, length: int) -> np.ndarray:
@@ -221,8 +222,8 @@ def _scan(batches, buckets: int, length: int, gram: int, hot: np.ndarray) -> Ite
         doc, p, first, last, h, whole = _all_anchors(ids, texts, length, gram)
         out: tuple[list, list, list, list] = ([], [], [], [])
         marks = []
-        o, new = _firsts([h, whole, last - first], doc, first)
-        copies = o[~new]
+        o, new, again = _firsts([h, whole, last - first], doc, first)
+        copies = o[again]
         marks.append((doc[copies], first[copies], last[copies] + length))
         o = np.sort(o[new])
         common = np.isin(h[o], hot) if len(hot) else np.zeros(len(o), bool)
@@ -240,8 +241,8 @@ def _scan(batches, buckets: int, length: int, gram: int, hot: np.ndarray) -> Ite
             d = np.repeat(doc[wide], n)
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[wide], n)
             a, b = hashes[:, 0].copy(), hashes[:, 1].copy()
-            o, new = _firsts([a, b], d, at)
-            copies = o[~new]
+            o, new, again = _firsts([a, b], d, at)
+            copies = o[again]
             marks.append((d[copies], at[copies], at[copies] + length))
             o = np.sort(o[new])
             _deal("w", (a[o] % np.uint64(buckets)).astype(np.int64), [a[o], b[o], d[o], at[o]], out)
@@ -262,15 +263,15 @@ def _settle(table: pa.Table, length: int) -> pa.Table:
     h, whole, doc, p, before, wins = _gather(table, "a", _A)
     first, wins = p - before, wins.astype(np.int64)
     marks = [_gather(table, "m", _M)]
-    o, new = _firsts([h, whole, before, wins], doc, p)
-    copies = o[~new]
+    o, new, again = _firsts([h, whole, before, wins], doc, p)
+    copies = o[again]
     marks.append([doc[copies], first[copies], first[copies] + wins[copies] + length])
     o = o[new]
     group = np.cumsum(np.r_[True, h[o][1:] != h[o][:-1]][: len(o)]) - 1
     several = o[np.bincount(group, minlength=1)[group] > 1] if len(o) else o
     a, b, wdoc, at = _gather(table, "w", _W)
-    o, new = _firsts([a, b], wdoc, at)
-    copies = o[~new]
+    o, new, again = _firsts([a, b], wdoc, at)
+    copies = o[again]
     marks.append([wdoc[copies], at[copies], at[copies] + length])
     d, s, e = _merge(*[np.concatenate(x) for x in zip(*marks, strict=True)])
     out: tuple[list, list, list, list] = ([], [], [], [])
@@ -294,6 +295,8 @@ def _cut_out(batches, buckets: int, length: int) -> Iterator[pa.RecordBatch]:
         for i, text, asked in zip(batch["doc_id"].to_pylist(), batch["text"], batch["asked"].to_pylist(), strict=True):
             raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
             for r in asked:
+                if r["first"] + r["wins"] + length > len(raw):  # another row with the same id has other text
+                    continue
                 docs.append(i)
                 heads.append(r["first"])
                 sizes.append(r["wins"])
@@ -376,7 +379,8 @@ def repeated_windows(doc: np.ndarray, first: np.ndarray, wins: np.ndarray, body:
     sizes = wins + length
     place = np.cumsum(sizes) - sizes
     rank = np.empty(len(doc), np.int64)
-    rank[np.lexsort((first, doc))] = np.arange(len(doc))
+    o = np.lexsort((first, doc))
+    rank[o] = np.cumsum(np.r_[False, (doc[o][1:] != doc[o][:-1]) | (first[o][1:] != first[o][:-1])][: len(o)])
     x = np.frombuffer(body, np.uint8)
     order = two_stage_order(x, length + 4)
     segment = np.repeat(np.arange(len(doc)), sizes)
@@ -458,9 +462,11 @@ def common_grams(docs: DataFrame, rows: int, length: int, gram: int, sample: int
 def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, bucket_bytes: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` per document: what is left without the repeated bytes.
 
-    Ids are distinct.  Null texts count as empty; texts shorter than ``length``
-    bytes have nothing to remove; an empty table gives an empty result; other
-    columns are not read.  Among equal strings the one with the smallest
+    Rows with one id are one document and have one text: each gives the same
+    row.  Rows without an id are no documents: they come back whole and remove
+    nothing.  Null texts count as empty; texts shorter than ``length`` bytes have
+    nothing to remove; an empty table gives an empty result; other columns are
+    not read.  Among equal strings the one with the smallest
     document, then the smallest start, stays.
     """
     from tessera.llm.common import cut
@@ -469,8 +475,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, bucket_by
     size = text.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     rows, total = size["n"], int(size["bytes"] or 0)
     buckets = min(1 << 20, total // bucket_bytes + 1)
-    hot = common_grams(text, rows, length, gram)
-    dealt = text.mapInArrow(lambda b: _scan(b, buckets, length, gram, hot), _ROW)
+    named = text.where("doc_id is not null")
+    hot = common_grams(named, rows, length, gram)
+    dealt = named.mapInArrow(lambda b: _scan(b, buckets, length, gram, hot), _ROW)
     settled = cut(dealt.groupBy("bucket").applyInArrow(lambda t: _settle(t, length), _ROW))
     asked_bytes = (settled.where("kind = 'r'").agg(F.sum("n")).first()[0] or 0) * (length + 40)
     asked = (
