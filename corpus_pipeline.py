@@ -25,10 +25,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates."""
+    """Keeps the document with the smallest id of each group of near-duplicates; rows without an id stay."""
     groups = simhash.near_duplicates(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id")
-    return docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+    dropped = groups.where("doc_id != component_id").select("doc_id")
+    return docs.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +43,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Gives each document its place in the mix of sources."""
-    plan = mixing.mix(docs).drop("source")
-    return docs.join(plan.hint("shuffle_hash"), "doc_id", "left")
+    return mixing.mix(docs, carry=True)
 
 
 STAGES = [
