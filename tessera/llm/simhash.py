@@ -15,17 +15,20 @@ The search never compares all pairs:
    remaining bits have even parity).  That is 88 variants a fingerprint on
    average, each on 42 or 43 bits.
 2. *Small groups* (up to ``small`` fingerprints on a variant): pairs are
-   verified one by one.
+   verified one by one; two of them are the aggregate's minimum and maximum.
 3. *Large groups* would have a quadratic number of pairs.  Their members are
-   verified against the smallest one.  Where that and step 2 leave a group in
-   several components, its fingerprints emit whole balls over all 64 bits:
-   radius 1 (near) and radius 2 (far).  Members of one variant at radius 1 are linked to every member
-   at radius 2 by the triangle inequality, so a star around the smallest
-   radius-1 member keeps the connectivity with a linear number of edges.
-   Parity decides which side emits radius 2, and as two of any three bits lie
-   in the same half of the word, only pairs of flips within a half are needed.
-
-Steps 2 and 3 give every link of distance 3 or less as a path, and no other.
+   verified against the smallest one.  In a group that steps 2 and 3 leave in
+   several components, only members outside its largest component can add
+   links: up to ``outside`` of them are verified against all members.
+4. *Groups with more outsiders* emit whole balls over all 64 bits: every member
+   radius 1 (near), the outsiders radius 2 (far) as well.  Members of one variant
+   at radius 1 are linked to every member at radius 2 by the triangle inequality,
+   so a star around the smallest radius-1 member keeps the connectivity with a
+   linear number of edges.  A missing link has an outsider, and as two of any
+   three bits lie in the same half of the word, only pairs of flips within a
+   half are needed.
+
+Steps 2 to 4 give every link of distance 3 or less as a path, and no other.
 """
 
 from __future__ import annotations
@@ -44,6 +47,10 @@ RADIUS = 3
 _ALL = (1 << 64) - 1
 _BLOCKS = (range(0, 22), range(22, 43), range(43, 64))
 _CHUNK = 1 << 16
+#: Rows of four longs that may be broadcast, some 10 MB; more of them are shuffled.
+_BROADCAST_ROWS = 100_000
+#: Fingerprints that one task expands to their variants.
+_EXPANDED = 20_000
 
 
 def _signed(x: int) -> int:
@@ -105,51 +112,76 @@ def _punctured(fp: str = "fp") -> Column:
     return F.concat(*out)
 
 
-def _balls(fp: str = "fp") -> Column:
-    """The variants of step 3 as ``(variant, far)``."""
+def _balls(fp: str = "fp", outsider: str = "outsider") -> Column:
+    """The variants of step 4 as ``(variant, far)``."""
     col = F.col(fp)
-    one = F.transform(_flips(range(64)), lambda x: F.struct(col.bitwiseXOR(x).alias("variant"), F.lit(False).alias("far")))
+    near = F.transform(F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << b)) for b in range(64)]), lambda x: F.struct(col.bitwiseXOR(x).alias("variant"), F.lit(False).alias("far")))
     pairs = [(1 << i) | (1 << j) for half in (range(32), range(32, 64)) for i in half for j in half if i < j]
-    two = F.transform(
+    far = F.transform(
         F.array(*[F.lit(_signed(x)) for x in pairs]),
         lambda x: F.struct(col.bitwiseXOR(x).alias("variant"), F.lit(True).alias("far")),
     )
-    own = F.array(F.struct(col.alias("variant"), F.lit(False).alias("far")))
-    return F.when(F.bit_count(col) % 2 == 0, one).otherwise(F.concat(own, one, two))
+    return F.when(F.col(outsider), F.concat(near, far)).otherwise(near)
 
 
-def links(distinct: DataFrame, small: int = 6) -> DataFrame:
+def _close(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= RADIUS
+
+
+def _with_centres(keyed: DataFrame, centres: DataFrame) -> DataFrame:
+    """``keyed`` with its variant's row of ``centres``, which is broadcast only while it has few rows."""
+    return keyed.join(centres.hint("broadcast" if centres.count() <= _BROADCAST_ROWS else "merge"), "variant")
+
+
+def _ball_stars(open_: DataFrame) -> DataFrame:
+    """Step 4 for fingerprints ``(fp, outsider)``."""
+    ball = open_.select("fp", F.explode(_balls()).alias("v")).select("fp", "v.variant", "v.far")
+    centres = (
+        ball.groupBy("variant")
+        .agg(F.min(F.when(~F.col("far"), F.col("fp"))).alias("centre"), F.count("*").alias("n"))
+        .where("n > 1 and centre is not null")
+    )
+    return ball.join(centres, "variant").where("fp != centre").select(F.col("fp").alias("a"), F.col("centre").alias("b"))
+
+
+def links(distinct: DataFrame, small: int = 6, outside: int = 16) -> DataFrame:
     """Edges ``(a, b)`` between distinct fingerprints ``fp``, whose paths are those of all links of distance <= 3."""
     keyed = distinct.select("fp", F.explode(_punctured()).alias("variant"))
-    shared = keyed.groupBy("variant").agg(F.count("*").alias("n"), F.min("fp").alias("centre")).where("n > 1")
-    found = cut(keyed.join(shared, "variant"))
-    close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= RADIUS
+    shared = cut(keyed.groupBy("variant").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
+    two = shared.where((F.col("n") == 2) & _close("a", "b")).select("a", "b")
+    centres = cut(shared.where("n > 2").select("variant", "n", F.col("a").alias("centre")))
+    found = cut(_with_centres(keyed, centres))
     few = found.where(F.col("n") <= small).select("variant", "fp")
     pairs = (
         few.select("variant", F.col("fp").alias("a"))
         .join(few.select("variant", F.col("fp").alias("b")), "variant")
-        .where((F.col("a") < F.col("b")) & close("a", "b"))
+        .where((F.col("a") < F.col("b")) & _close("a", "b"))
         .select("a", "b")
     )
     many = found.where(F.col("n") > small)
-    direct = many.where(close("fp", "centre") & (F.col("fp") != F.col("centre"))).select(F.col("fp").alias("a"), F.col("centre").alias("b"))
-    sure = cut(pairs.union(direct).distinct())
+    direct = many.where(_close("fp", "centre") & (F.col("fp") != F.col("centre"))).select(F.col("fp").alias("a"), F.col("centre").alias("b"))
+    sure = cut(two.union(pairs).union(direct).distinct())
     roots = components(sure).withColumnsRenamed({"node": "fp"})
     rooted = cut(many.join(roots, "fp", "left").select("variant", "fp", F.coalesce("root", "fp").alias("root")))
     # groups that lie within one component already have nothing to add
-    mixed = rooted.groupBy("variant").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    open_ = rooted.join(mixed.select("variant"), "variant", "left_semi").select("fp").distinct()
-    ball = (
-        open_.select("fp", F.explode(_balls()).alias("v"))
-        .select("fp", "v.variant", "v.far")
+    size = F.struct("members", "root")
+    mixed = (
+        rooted.groupBy("variant", "root")
+        .agg(F.count("*").alias("members"))
+        .groupBy("variant")
+        .agg(F.max(size)["root"].alias("main"), (F.sum("members") - F.max("members")).alias("beyond"))
+        .where("beyond > 0")
     )
-    centres = (
-        ball.groupBy("variant")
-        .agg(F.min(F.when(~F.col("far"), F.col("fp"))).alias("centre"), F.count("*").alias("n"))
-        .where("n > 1 and centre is not null")
+    open_ = cut(rooted.join(mixed, "variant").withColumn("outsider", F.col("root") != F.col("main")))
+    tame = open_.where(F.col("beyond") <= outside)
+    checked = (
+        tame.where("outsider").select("variant", F.col("fp").alias("a"), F.col("root").alias("of_a"))
+        .join(tame.select("variant", F.col("fp").alias("b"), F.col("root").alias("of_b")), "variant")
+        .where((F.col("of_a") != F.col("of_b")) & _close("a", "b"))
+        .select("a", "b")
     )
-    stars = ball.join(centres, "variant").where("fp != centre").select(F.col("fp").alias("a"), F.col("centre").alias("b"))
-    return sure.union(stars.distinct())
+    wild = open_.where(F.col("beyond") > outside).groupBy("fp").agg(F.max("outsider").alias("outsider"))
+    return sure.union(checked.union(_ball_stars(wild)).distinct())
 
 
 def near_duplicates(
@@ -163,8 +195,10 @@ def near_duplicates(
     an empty table gives an empty result.  Long texts are hashed whole.
     """
     prints = cut(fingerprints(docs, id_col, text_col, width))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(links(classes.select("fp"), small)).withColumnsRenamed({"node": "fp"})
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    # few bytes become many rows: dealt out by their number
+    distinct = classes.select("fp").repartition(classes.count() // _EXPANDED + 1, "fp")
+    roots = components(links(distinct, small)).withColumnsRenamed({"node": "fp"})
     labelled = cut(classes.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
     firsts = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of = labelled.join(firsts, "root").select("fp", "component_id")
