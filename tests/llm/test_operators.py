@@ -56,6 +56,30 @@ def test_odd_rows_in_every_operator(spark, texts):
     assert pii.pseudonymise(d, "k").columns == d.columns
 
 
+def test_rows_without_an_id_and_repeated_rows(spark):
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+
+    long = " ".join(f"w{i * i % 97}" for i in range(120))
+    rows = [(1, long), (1, long), (2, "before " + long), (None, long), (None, None), (3, None)]
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC).withColumn("slot", F.lit(5))
+    got = suffix.remove_repeats(d).collect()
+    assert sorted((r["doc_id"] or 0, r["n_removed"], r["n_bytes"]) for r in got) == sorted(
+        [(1, 0, len(long))] * 2 + [(2, len(long), len(long) + 7), (0, 0, len(long)), (0, 0, 0), (3, 0, 0)]
+    )
+    assert simhash.near_duplicates(d).where("doc_id = 2 or doc_id = 1").select("doc_id").count() == 3
+    assert secrets.scan(d).count() == langid.predict(d, langid.fit(d)).count() == pii.report(d, "k").count() == 6
+    assert tokens.token_counts(d, q.tokenizer_path()).count() == decontam.clean(d, spark.createDataFrame([], "item_id long, text string")).count() == 6
+    mixed = mixing.mix(d, block=2, carry=True)
+    assert mixed.count() == 6 and len(set(mixed.columns)) == len(mixed.columns) and "text" in mixed.columns
+    assert sorted(r["position"] for r in mixed.collect()) == list(range(6))
+    kept = corpus_pipeline.near_dedup(spark, d, "").collect()
+    assert sorted(r["doc_id"] or 0 for r in kept) == [0, 0, 1, 1, 2, 3] or sorted(r["doc_id"] or 0 for r in kept) == [0, 0, 1, 1, 3]
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (None, [0.0, 1.0], 1), (4, None, 1)], "vec_id long, embedding array<float>, label int")
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(vectors).collect()} == {(1, 2, 1), (2, 2, 1), (None, 0, None), (4, 0, 4)}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(40)]
@@ -90,8 +114,8 @@ def test_simhash_fingerprints(spark, sf):
     assert s % (1 << 64) == xxhash.xxh64_intdigest(b"a b c", 42)
 
 
-@pytest.mark.parametrize("small", [1, 6, 1000])
-def test_simhash_links(spark, small):
+@pytest.mark.parametrize(("small", "outside"), [(1, 0), (6, 0), (6, 16), (1, 3), (1000, 16)])
+def test_simhash_links(spark, small, outside):
     rng = random.Random(5)
     fps = set()
     for size in [1, 2, 5, 30] * 12:
@@ -120,7 +144,7 @@ def test_simhash_links(spark, small):
             if apart(a, b) <= 3:
                 ra, rb = find(a), find(b)
                 root[max(ra, rb)] = min(ra, rb)
-    edges = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), small)
+    edges = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), small, outside)
     assert all(apart(r["a"], r["b"]) <= 3 for r in edges.collect())
     got = {r["node"]: r["root"] for r in components(edges).collect()}
     assert {f: got.get(f, f) for f in fps} == {f: find(f) for f in fps}
