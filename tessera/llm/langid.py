@@ -15,13 +15,13 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS = 13
 _CHUNK = 1 << 20
+_PARTS = 32
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,23 +97,18 @@ def fit(
 
     The classifier is fitted on a bounded sample: the ``per_language`` rows of
     each language with the smallest hash of their id.  Partitions keep their
-    own smallest first, so no language meets in one task, and only sampled
-    n-gram vectors reach the driver.  Rows without an id or a language teach nothing.
+    own smallest first, so no language meets in one task, and only the sample's
+    ids and n-gram vectors reach the driver.  Rows without an id or a language teach nothing.
     """
     rows = rows.where(F.col("lang").isNotNull() & F.col(id_col).isNotNull())
     keyed = rows.select("lang", F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col)).alias("h"))
 
-    def least(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for frame in frames:
-            both = frame if kept is None else pd.concat([kept, frame])
-            kept = both.sort_values(["h", "doc_id"], kind="stable").groupby("lang").head(per_language)
-        if kept is not None:
-            yield kept
-
-    part = keyed.mapInPandas(least, keyed.schema)
-    rank = F.row_number().over(_window("lang"))
-    chosen = part.withColumn("k", rank).where(F.col("k") <= per_language).select("doc_id").distinct()
+    # in two levels, so that the last task reads a bounded number of rows, however many partitions there are;
+    # before each exchange, the window's limit leaves a task's own smallest
+    first = keyed.withColumn("part", F.spark_partition_id() % _PARTS)
+    for level in (["lang", "part"], ["lang"]):
+        first = first.withColumn("k", F.row_number().over(Window.partitionBy(*level).orderBy("h", "doc_id"))).where(F.col("k") <= per_language).drop("k")
+    chosen = first.select("doc_id").distinct()
     ids = sorted(r[0] for r in chosen.collect())  # per_language for each language
     spark = rows.sparkSession
     sample = rows.join(
@@ -149,12 +144,6 @@ def fit(
     return Model(tuple(names), np.concatenate(centroids), idf, reject_below)
 
 
-def _window(key: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy("h", "doc_id")
-
-
 def held_out(id_col: str = "doc_id") -> Column:
     """Whether a row is kept from learning: CRC-32 of its id as text is 2 modulo 4."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
