@@ -40,6 +40,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import components, cut
 
@@ -184,6 +185,15 @@ def links(distinct: DataFrame, small: int = 6, outside: int = 16) -> DataFrame:
     return sure.union(checked.union(_ball_stars(wild)).distinct())
 
 
+def _rooted(prints: DataFrame, small: int) -> DataFrame:
+    """``(fp, first_id, root)``: each distinct fingerprint of ``prints(doc_id, fp)`` with the smallest one that links reach."""
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    # few bytes become many rows: dealt out by their number
+    distinct = classes.select("fp").repartition(classes.count() // _EXPANDED + 1, "fp")
+    roots = components(links(distinct, small)).withColumnsRenamed({"node": "fp"})
+    return cut(classes.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, small: int = 6
 ) -> DataFrame:
@@ -192,16 +202,40 @@ def near_duplicates(
     Nulls and texts without words have fingerprint zero and are linked like
     any other; rows with the same fingerprint are one class; repeated rows give
     repeated results; other columns are not read, so their names cannot clash;
-    an empty table gives an empty result.  Long texts are hashed whole.
+    an empty table gives an empty result.  Long texts are hashed whole.  Rows
+    without an id belong to their component, but don't name it: its id is null
+    only where no row has one.
     """
     prints = cut(fingerprints(docs, id_col, text_col, width))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    # few bytes become many rows: dealt out by their number
-    distinct = classes.select("fp").repartition(classes.count() // _EXPANDED + 1, "fp")
-    roots = components(links(distinct, small)).withColumnsRenamed({"node": "fp"})
-    labelled = cut(classes.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
+    labelled = _rooted(prints, small)
     firsts = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of = labelled.join(firsts, "root").select("fp", "component_id")
     return prints.join(of, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, small: int = 6) -> DataFrame:
+    """One row of ``docs``, with all its columns, for each component of near-duplicates.
+
+    It is the row with the smallest id; rows without an id come last.  An id
+    with several texts stands for each of them: rows are told apart by id and
+    fingerprint, so a text that nobody else has always stays.  Of repeated rows
+    one stays.  Fingerprints are computed once more beside the full rows, which
+    costs less than to shuffle the texts twice.
+    """
+    labelled = _rooted(cut(fingerprints(docs, id_col, text_col, width)), small)
+    order = F.struct(F.col("first_id").isNull().alias("last"), "first_id", "fp")
+    best = labelled.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.first_id").alias("_kept_id"), F.col("x.fp").alias("_kept_fp"))
+    at = docs.columns.index(text_col)
+    fresh = next(n for n in (f"_fp{k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = pa.array([_signed(fingerprint(t.as_py(), width)) for t in batch.column(at)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, fresh])
+
+    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(fresh, T.LongType())]))
+    row_id = F.col(f"`{id_col}`").cast("long")
+    kept = marked.join(best.hint("shuffle_hash"), row_id.eqNullSafe(F.col("_kept_id")) & (F.col(fresh) == F.col("_kept_fp")), "left_semi")
+    return kept.dropDuplicates([id_col, fresh]).drop(fresh)
