@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1 << 20
+#: Hits of q-grams times their places in items that are expanded at a time (but for a window of the least size).
+_POSTINGS = 1 << 20
 
 
 def normalise(text: str | None) -> str:
@@ -106,7 +108,13 @@ def banded_distance(item: np.ndarray, text: np.ndarray, low: int, high: int, mos
 
 
 def scan(index: Index, text: str | None) -> list[tuple[int, int, int, int]]:
-    """``(item, start, end, edits)`` of the items found in the whole normalised text: the best match of each."""
+    """``(item, start, end, edits)`` of the items found in the whole normalised text: the best match of each.
+
+    Ties go to the earliest start.  Hits are expanded to diagonals in windows of the
+    text that overlap by the longest item and its edits, so that every match lies
+    whole in one of them; windows shrink where q-grams are common, so the memory
+    depends on the index and not on the text.
+    """
     norm = normalise(text)
     if not index.ids or len(norm) < index.q:
         return []
@@ -122,13 +130,33 @@ def scan(index: Index, text: str | None) -> list[tuple[int, int, int, int]]:
     spot, hit = np.concatenate(spots), np.concatenate(hits)
     if len(spot) < index.bound.min():
         return []
+    sizes = np.cumsum(index.starts[hit + 1] - index.starts[hit])
+    if sizes[-1] <= _POSTINGS:
+        best = _matches(index, norm, codes, spot, hit)
+    else:
+        best: dict[int, tuple[int, int, int]] = {}
+        longest = max(map(len, index.texts)) + int(index.budget.max()) + index.q
+        at, done = 0, -1
+        while at < len(spot) and done < spot[-1]:
+            most = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _POSTINGS, "right"))
+            done = max(int(spot[min(most, len(spot)) - 1]), int(spot[at]) + 2 * longest)
+            end = int(np.searchsorted(spot, done, "right"))
+            for k, m in _matches(index, norm, codes, spot[at:end], hit[at:end]).items():
+                if k not in best or (m[2], m[0]) < (best[k][2], best[k][0]):
+                    best[k] = m
+            at = int(np.searchsorted(spot, done - longest, "right"))
+    return [(index.ids[k], *m) for k, m in sorted(best.items())]
+
+
+def _matches(index: Index, norm: str, codes: np.ndarray, spot: np.ndarray, hit: np.ndarray) -> dict[int, tuple[int, int, int]]:
+    """The best match of each item, by number, as ``(start, end, edits)``, among q-grams ``hit`` at places ``spot``."""
     n = index.starts[hit + 1] - index.starts[hit]
     posting = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(index.starts[hit], n)
     item = index.item[posting]
     enough = np.bincount(item, minlength=len(index.ids)) >= index.bound
     keep = enough[item]
     if not keep.any():
-        return []
+        return {}
     item = item[keep]
     diagonal = np.repeat(spot, n)[keep] - index.place[posting[keep]]
     width = index.budget[item] + 1
@@ -141,7 +169,7 @@ def scan(index: Index, text: str | None) -> list[tuple[int, int, int, int]]:
     own, bound = table[at], index.bound[item]
     open_ = (own + table[slot(band + 1)] >= bound) | (own + table[slot(band - 1)] >= bound)
     if not open_.any():
-        return []
+        return {}
     item, band = item[open_], band[open_]
     # each hit counts in its own band and in the one before, which overlaps it
     key = np.concatenate([item << 34 | band, item << 34 | (band - 1)])
@@ -149,7 +177,7 @@ def scan(index: Index, text: str | None) -> list[tuple[int, int, int, int]]:
     owner = keys >> 34
     good = counts >= index.bound[owner]
     if not good.any():
-        return []
+        return {}
     # the bound is on q-grams of the item: one that hits several times in a band counts once
     place = np.tile(index.place[posting[keep][open_]], 2)[good[of]]
     longest = int(place.max()) + 1
@@ -157,20 +185,20 @@ def scan(index: Index, text: str | None) -> list[tuple[int, int, int, int]]:
     good = np.bincount(once, minlength=len(keys)) >= index.bound[owner]
     best: dict[int, tuple[int, int, int]] = {}
     for k, b in zip(owner[good].tolist(), (keys[good] & ((1 << 34) - 1)).tolist(), strict=True):
-        if k in best and best[k][0] == 0:
-            continue
         e, w = int(index.budget[k]), int(index.budget[k]) + 1
         low, high = b * w - (1 << 30) - e, (b + 2) * w - 1 - (1 << 30) + e
         text_k = index.texts[k]
         left, right = max(0, low), min(len(codes), high + len(text_k))
         exact = norm.find(text_k, left, right)
         if exact >= 0:
-            best[k] = (0, exact, exact + len(text_k))
+            best[k] = min(best.get(k, (e + 1, 0, 0)), (0, exact, exact + len(text_k)))
+            continue
+        if k in best and best[k][0] == 0:
             continue
         edits, s, t = banded_distance(_codes(text_k), codes, low, high, e)
         if edits <= e and (k not in best or (edits, s) < best[k][:2]):
             best[k] = (edits, s, t)
-    return [(index.ids[k], s, t, edits) for k, (edits, s, t) in sorted(best.items())]
+    return {k: (s, t, edits) for k, (edits, s, t) in best.items()}
 
 
 def _indexes(items: DataFrame, q: int, rate: float, most_chars: int) -> Iterator[Index]:
@@ -190,10 +218,13 @@ def contaminated(docs: DataFrame, items: DataFrame, q: int = 6, rate: float = 0.
     """``(doc_id, item_id, start, end, edits)``: items found in documents with at most ``rate`` edits a character.
 
     Positions are those of the normalised text (lower case, single spaces).
-    Items are broadcast in parts of bounded size; a larger benchmark takes more
-    scans of the documents, not more memory.  Null or short texts match nothing;
+    Items are broadcast in parts of bounded size; a larger benchmark takes one
+    more scan of the documents for each ``most_chars`` of it, not more memory
+    (benchmarks are small beside a corpus; the driver reads them a row at a time).
+    Null or short texts match nothing; texts are scanned whole, long ones in windows;
     null items and those of fewer than ``q`` characters are left out; an item
-    or document that is repeated gives a row each; empty tables give none.
+    or document that is repeated gives a row each; empty tables give none; other
+    columns are not read, so their names can't clash.
     """
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     context = docs.sparkSession.sparkContext
@@ -213,7 +244,10 @@ def contaminated(docs: DataFrame, items: DataFrame, q: int = 6, rate: float = 0.
 
 
 def clean(docs: DataFrame, items: DataFrame, q: int = 6, rate: float = 0.125, most_chars: int = 4_000_000) -> DataFrame:
-    """The rows of ``docs`` in which no item is found, with all their columns; no shuffle."""
+    """The rows of ``docs`` in which no item is found, with all their columns, whatever their names; no shuffle.
+
+    Null and empty texts hold no item and stay; repeated rows stay or go together.
+    """
     at = docs.columns.index("text")
     for index in _indexes(items, q, rate, most_chars):
         shared = docs.sparkSession.sparkContext.broadcast(index)
