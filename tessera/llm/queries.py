@@ -94,24 +94,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _licence_sql() -> str:
-    rows = ", ".join(
-        f"('{licence}', {k}, [{', '.join(repr(b) for b in bs)}])"
-        for licence, texts in sorted(licences.TEMPLATES.items())
-        for k, t in enumerate(texts)
-        if (bs := licences.bigrams(t))
-    )
+    def value(kind: str, licence: str, k: int, t: str) -> str:
+        bs = licences.bigrams(t)
+        listed = lambda xs: f"[{', '.join(repr(x) for x in xs)}]"
+        return f"('{kind}', '{licence}', {k}, {listed(bs)}, {listed(sorted(set(licences.words(t))))})"
+
+    rows = [value("short", n, k, t) for n, ts in sorted(licences.TEMPLATES.items()) for k, t in enumerate(ts)]
+    rows += [value("whole", n, len(licences.TEMPLATES.get(n, ())), t) for n, t in sorted(licences.TEXTS.items())]
     norm = "string_split(trim(regexp_replace(lower(raw), '[^a-z0-9]+', ' ', 'g')), ' ')"
     return f"""
-    WITH t(licence, template, tb) AS (VALUES {rows}),
+    WITH t(kind, licence, template, tb, tw) AS (VALUES {', '.join(rows)}),
     l AS (SELECT doc_id, 'line' AS unit, unnest(string_split(coalesce(text, ''), chr(10))) AS raw,
                  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS unit_no FROM documents),
     p AS (SELECT doc_id, 'paragraph' AS unit, unnest(string_split_regex(coalesce(text, ''), '\\n[ \\t]*\\n')) AS raw,
                  generate_subscripts(string_split_regex(coalesce(text, ''), '\\n[ \\t]*\\n'), 1) - 1 AS unit_no FROM documents),
-    u AS (SELECT doc_id, unit, unit_no, {norm} AS w FROM (SELECT * FROM l UNION ALL SELECT * FROM p WHERE contains(raw, chr(10)))),
-    b AS (SELECT doc_id, unit, unit_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM u WHERE len(w) > 1),
+    lw AS (SELECT doc_id, unit_no, list_filter({norm}, lambda x: x <> '') AS w FROM l),
+    m AS (SELECT doc_id, licence, unit_no, w, len(list_filter(w, lambda x: list_contains(tw, x))) * 5 >= len(w) * 3 AS mine FROM lw, t WHERE kind = 'whole' AND len(w) > 0),
+    g AS (SELECT *, count(*) FILTER (NOT mine) OVER (PARTITION BY doc_id, licence ORDER BY unit_no) AS run FROM m),
+    r AS (SELECT doc_id, min(unit_no) AS unit_no, flatten(list(w ORDER BY unit_no)) AS w FROM g WHERE mine GROUP BY doc_id, licence, run),
+    u AS (SELECT doc_id, 'short' AS kind, unit, unit_no, {norm} AS w FROM (SELECT * FROM l UNION ALL SELECT * FROM p WHERE contains(raw, chr(10)))
+          UNION ALL SELECT doc_id, 'whole', 'passage', unit_no, w FROM r),
+    b AS (SELECT doc_id, kind, unit, unit_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM u WHERE len(w) > 1),
     s AS (SELECT doc_id, unit, unit_no, licence, template, len(list_intersect(b, tb)) AS shared,
                  2.0::DOUBLE * len(list_intersect(b, tb)) / (len(b) + len(tb)) AS dice
-          FROM b JOIN t ON len(b) BETWEEN len(tb) * 0.8 / 1.2 - 1e-9 AND len(tb) * 1.2 / 0.8 + 1e-9)
+          FROM b JOIN t ON b.kind = t.kind AND len(b) BETWEEN len(tb) * 0.8 / 1.2 - 1e-9 AND len(tb) * 1.2 / 0.8 + 1e-9)
     SELECT doc_id, unit, CAST(unit_no AS BIGINT) AS unit_no, licence, CAST(template AS BIGINT) AS template,
            CAST(shared AS BIGINT) AS shared, dice
     FROM s WHERE dice >= 0.8
