@@ -20,6 +20,12 @@ from math import ceil, log
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import cut
+
+
+#: Copies of one row that one task writes at a time.
+_PIECE = 10_000
+
 
 def shares(weights: dict[str, float], slots: int) -> dict[str, int]:
     """Slots of each source in a round: largest remainders, one at least."""
@@ -66,16 +72,16 @@ def mix(
 ) -> DataFrame:
     """A place in the mix for every document: ``(doc_id, source, block, slot, release, deadline, position, in_mix)``.
 
-    Documents of a source come in the order of a hash of their id and fill
-    blocks of ``block``.  ``position`` orders all documents.  A source that runs
+    Documents of a source come in the order of a hash of their id (with
+    ``carry``, of their whole row) and fill blocks of ``block``.  ``position`` orders all documents.  A source that runs
     out leaves its slots empty; ``in_mix`` is true for the documents before the
     first slot that its source can't fill with a whole block, where the weights
     hold exactly.  Without ``weights``, a source weighs its number of documents
     to the power ``temperature``.  Documents without a source are a source of
     their own, named ``""``; sources without weight get no place: null slot and
     position, ``in_mix`` false.  Each row has a place of its own: rows with equal
-    ids are told apart arbitrarily, and null ids count as equal.  An empty table
-    gives an empty result.  With ``carry``, the other columns of ``docs`` come
+    or null ids are told apart by their other columns if these are carried, and are
+    alike if not.  An empty table gives an empty result.  With ``carry``, the other columns of ``docs`` come
     first, but for those with a name of the result's.
 
     Ranks within a source are counted by buckets of the hash, so a source with
@@ -89,8 +95,14 @@ def mix(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
     )
+    # rows with one id, or without one, must not meet in one bucket: whole rows differ by their other columns;
+    # where ids and sources are all there is, equal rows are one with a number
+    if carry:
+        rows = rows.withColumns({"n": F.lit(1).cast("long"), "salt": F.xxhash64("row").cast("string")})
+    else:
+        rows = cut(rows.groupBy("source", "doc_id", "row").agg(F.count("*").alias("n")).withColumn("salt", F.lit("")))
     # as many rows as sources; more than slots of them is an error below
-    counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).limit(slots + 1).collect()}
+    counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("n").alias("n")).limit(slots + 1).collect()}
     total = sum(counts.values())
     wanted = {s: counts[s] ** temperature for s in counts} if weights is None else {s: w for s, w in weights.items() if w > 0}
     share = shares(wanted, slots) if wanted else {}
@@ -105,14 +117,19 @@ def mix(
     horizon = min(first_gap.values(), default=0)
 
     digits = max(1, ceil(log(max(2, total / rows_a_bucket), 16)))
-    hashed = rows.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn("bucket", F.substring("h", 1, digits))
-    sizes = hashed.groupBy("source", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    ranked = hashed.withColumn("k", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id")) - 1).join(
-        offsets, ["source", "bucket"]
-    )
-    placed = ranked.withColumn("rank", F.col("offset") + F.col("k")).withColumn("block", F.floor(F.col("rank") / block).cast("long"))
+    named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "salt")
+    hashed = rows.withColumn("h", F.md5(named.cast("binary"))).withColumn("bucket", F.substring("h", 1, digits))
+    sizes = hashed.groupBy("source", "bucket").agg(F.sum("n").alias("n"))
+    before = lambda *order: Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("source", "bucket", F.coalesce(F.sum("n").over(before("bucket").partitionBy("source")), F.lit(0)).alias("offset"))
+    own = F.coalesce(F.sum("n").over(before("h", "doc_id").partitionBy("source", "bucket")), F.lit(0))
+    ranked = hashed.withColumn("k", own).join(offsets, ["source", "bucket"]).withColumn("rank", F.col("offset") + F.col("k"))
+    if not carry:  # the copies of a row, in pieces that are dealt out where there are many
+        ranked = ranked.withColumn("piece", F.explode(F.sequence(F.col("rank"), F.col("rank") + F.col("n") - 1, F.lit(_PIECE).cast("long"))))
+        if (rows.agg(F.max("n")).first()[0] or 0) > _PIECE:
+            ranked = ranked.repartition("piece")
+        ranked = ranked.withColumn("rank", F.explode(F.sequence(F.col("piece"), F.least(F.col("piece") + _PIECE, F.col("rank") + F.col("n")) - 1)))
+    placed = ranked.withColumn("block", F.floor(F.col("rank") / block).cast("long"))
     round_ = spark.createDataFrame(
         [(s, share[s], j, slot, r, d) for s, j, slot, r, d in table], "source string, n_round long, ordinal long, at long, release long, deadline long"
     )
