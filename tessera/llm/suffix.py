@@ -8,18 +8,18 @@ the places where sorting is needed:
 1. *Anchors.*  Each window of ``length`` bytes picks its gram of ``gram`` bytes
    with the smallest hash.  Equal windows pick equal grams at equal offsets, so
    windows need to be compared only below the same anchor; one anchor serves
-   about 35 consecutive windows.  A hash of all bytes that an anchor's windows
-   cover tells whole copies apart from partial ones.
-2. *Whole copies* of what an anchor covers are removed but for the first.  Each
-   batch of rows settles its own copies first, so that a passage that every
-   document holds sends one row a batch.
-3. *Partial copies* - an anchor seen in different surroundings - go to suffix
-   sorting: their bytes, some 130 each, meet in buckets of bounded size.  A
-   two-stage sort orders directly only the suffixes that are smaller than
-   their successors; a scan over the buckets of first bytes induces all others.
+   about 35 consecutive windows.  Each batch of rows settles its own whole copies of what an
+   anchor's windows cover first, by their bytes, so that a passage that every document
+   holds sends one row a batch.
+2. *Lone anchors* - grams that occur in one place only - can't have a copy and end here.
+   Hashes of grams decide this: equal hashes of different grams only cost work.
+3. *Suffix sorting.*  The bytes of all other anchors, some 130 each, meet in buckets
+   of bounded size.  Equal byte strings become one; a two-stage sort of the
+   others orders directly only the suffixes that are smaller than their
+   successors; a scan over the buckets of first bytes induces all others.
    Adjacent common prefixes of ``length`` bytes or more are the equal windows.
-   An anchor in very many surroundings (a common short line) would make an
-   unbounded bucket; its windows are dealt out one by one, by a 128-bit hash.
+   A gram in very many places (a common short line) would make an unbounded
+   bucket; its windows are dealt out one by one, by a 128-bit hash (BLAKE2b) of their bytes.
 """
 
 from __future__ import annotations
@@ -170,10 +170,10 @@ def _all_anchors(ids, texts, length, gram):
     return [np.concatenate(x) for x in zip(*found, strict=True)]
 
 
-_A = ("u8", "u8", "i8", "i8", "u1", "u1")  # hash, whole, document, anchor, windows before it, windows
+_A = ("u8", "i8", "i8", "u1", "u1")  # gram's hash but for the bits that its bucket has, document, anchor, windows before it, windows
 _W = ("u8", "u8", "i8", "i8")  # two halves of a window's hash, document, start
 _M = ("i8", "i8", "i8")  # document, start, end
-_R = ("i8", "i8", "u1", "u8")  # document, first window, windows, gram's hash
+_R = ("i8", "i8", "u1", "i8")  # document, first window, windows, bucket: negative if its windows go one by one
 _ROW = "bucket long, kind string, n long, data binary"
 
 
@@ -214,33 +214,42 @@ def _window_hashes(text: bytes, first: int, last: int, length: int) -> np.ndarra
     return np.frombuffer(raw, np.uint64).reshape(-1, 2)
 
 
+def _one_by_one(texts: list[bytes], of: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Hash (two halves), document and start of each window ``first .. last`` of the texts ``of``, with what is a copy of another of them."""
+    hashes = np.concatenate([_window_hashes(texts[r], f, l, length) for r, f, l in zip(of.tolist(), first.tolist(), last.tolist(), strict=True)])
+    n = last - first + 1
+    d = np.repeat(doc, n)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+    return hashes[:, 0].copy(), hashes[:, 1].copy(), d, at
+
+
 def _scan(batches, buckets: int, length: int, gram: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Step 1, and what a batch can settle alone."""
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1)]
-        place = {i: t for i, t in zip(ids, texts, strict=True)}
-        doc, p, first, last, h, whole = _all_anchors(ids, texts, length, gram)
+        ids, texts = np.array(batch.column(0).to_pylist(), np.int64), [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1)]
+        row, p, first, last, h, whole = _all_anchors(range(len(ids)), texts, length, gram)
+        doc = ids[row]
         out: tuple[list, list, list, list] = ([], [], [], [])
-        marks = []
         o, new, again = _firsts([h, whole, last - first], doc, first)
-        copies = o[again]
-        marks.append((doc[copies], first[copies], last[copies] + length))
+        lead = o[np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))]
+        piece = lambda k: texts[row[k]][first[k] : last[k] + length]
+        places = np.nonzero(again)[0]
+        same = np.array([piece(o[k]) == piece(lead[k]) for k in places.tolist()], bool)
+        new[places[~same]] = True  # another string with the same hashes
+        copies = o[places[same]]
+        marks = [(doc[copies], first[copies], last[copies] + length)]
         o = np.sort(o[new])
         common = np.isin(h[o], hot) if len(hot) else np.zeros(len(o), bool)
         own = o[~common]
         _deal(
             "a",
             (h[own] % np.uint64(buckets)).astype(np.int64),
-            [h[own], whole[own], doc[own], p[own], (p[own] - first[own]).astype(np.uint8), (last[own] - first[own]).astype(np.uint8)],
+            [h[own] >> np.uint64(16), doc[own], p[own], (p[own] - first[own]).astype(np.uint8), (last[own] - first[own]).astype(np.uint8)],
             out,
         )
         if common.any():
             wide = o[common]
-            hashes = np.concatenate([_window_hashes(place[d], f, l, length) for d, f, l in zip(doc[wide].tolist(), first[wide].tolist(), last[wide].tolist(), strict=True)])
-            n = last[wide] - first[wide] + 1
-            d = np.repeat(doc[wide], n)
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[wide], n)
-            a, b = hashes[:, 0].copy(), hashes[:, 1].copy()
+            a, b, d, at = _one_by_one(texts, row[wide], doc[wide], first[wide], last[wide], length)
             o, new, again = _firsts([a, b], d, at)
             copies = o[again]
             marks.append((d[copies], at[copies], at[copies] + length))
@@ -258,25 +267,32 @@ def _gather(table: pa.Table, kind: str, kinds: tuple[str, ...]) -> list[np.ndarr
     return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, k) for k in kinds]
 
 
-def _settle(table: pa.Table, length: int) -> pa.Table:
-    """Step 2 for one bucket: marks, and requests for the partial copies."""
-    h, whole, doc, p, before, wins = _gather(table, "a", _A)
-    first, wins = p - before, wins.astype(np.int64)
-    marks = [_gather(table, "m", _M)]
-    o, new, again = _firsts([h, whole, before, wins], doc, p)
-    copies = o[again]
-    marks.append([doc[copies], first[copies], first[copies] + wins[copies] + length])
-    o = o[new]
-    group = np.cumsum(np.r_[True, h[o][1:] != h[o][:-1]][: len(o)]) - 1
-    several = o[np.bincount(group, minlength=1)[group] > 1] if len(o) else o
-    a, b, wdoc, at = _gather(table, "w", _W)
-    o, new, again = _firsts([a, b], wdoc, at)
+def _copies(table: pa.Table, length: int) -> list[np.ndarray]:
+    """Marks of the windows that were dealt out one by one."""
+    a, b, doc, at = _gather(table, "w", _W)
+    o, _, again = _firsts([a, b], doc, at)
     copies = o[again]
-    marks.append([wdoc[copies], at[copies], at[copies] + length])
-    d, s, e = _merge(*[np.concatenate(x) for x in zip(*marks, strict=True)])
+    return [doc[copies], at[copies], at[copies] + length]
+
+
+def _settle(table: pa.Table, length: int, groups: int, most: int) -> pa.Table:
+    """Step 2 for one bucket: marks, and requests for the bytes of anchors that aren't alone."""
+    h, doc, p, before, wins = _gather(table, "a", _A)
+    first = p - before
+    o = np.lexsort((p, doc, h))
+    lead = np.r_[True, h[o][1:] != h[o][:-1]][: len(o)]
+    group = np.cumsum(lead) - 1
+    n = np.bincount(group, minlength=1)
+    elsewhere = (doc[o] != doc[o][np.maximum.accumulate(np.where(lead, np.arange(len(o)), 0))]) | (p[o] != p[o][np.maximum.accumulate(np.where(lead, np.arange(len(o)), 0))])
+    several = np.bincount(group[elsewhere], minlength=len(n)) > 0
+    asked = several[group] if len(o) else np.zeros(0, bool)
+    goal = (_scramble(h[o]) % np.uint64(groups)).astype(np.int64)
+    goal = np.where(n[group] > most, -1, goal) if len(o) else goal
+    d, s, e = _merge(*[np.concatenate(x) for x in zip(_gather(table, "m", _M), _copies(table, length), strict=True)])
     out: tuple[list, list, list, list] = ([], [], [], [])
     _deal("m", np.zeros(len(d), np.int64), [d, s, e], out)
-    _deal("r", np.zeros(len(several), np.int64), [doc[several], first[several], wins[several].astype(np.uint8), h[several]], out)
+    k = o[asked]
+    _deal("r", np.zeros(len(k), np.int64), [doc[k], first[k], wins[k], goal[asked]], out)
     return pa.Table.from_batches([_batch(*out)])
 
 
@@ -288,34 +304,31 @@ def _rows(batches, kind: str, kinds: tuple[str, ...], names: list[str]) -> Itera
                 yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)) for a in arrays], names=names)
 
 
-def _cut_out(batches, buckets: int, length: int) -> Iterator[pa.RecordBatch]:
-    """The bytes that requested anchors cover, packed by bucket."""
+def _cut_out(batches, groups: int, length: int) -> Iterator[pa.RecordBatch]:
+    """The bytes that requested anchors cover, packed by bucket; of very common ones the windows' hashes."""
     for batch in batches:
-        docs, heads, sizes, hashes, parts = [], [], [], [], []
-        for i, text, asked in zip(batch["doc_id"].to_pylist(), batch["text"], batch["asked"].to_pylist(), strict=True):
-            raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            for r in asked:
-                if r["first"] + r["wins"] + length > len(raw):  # another row with the same id has other text
-                    continue
-                docs.append(i)
-                heads.append(r["first"])
-                sizes.append(r["wins"])
-                hashes.append(r["h"])
-                parts.append(raw[r["first"] : r["first"] + r["wins"] + length])
-        if not docs:
-            continue
-        doc, first, wins = np.array(docs, np.int64), np.array(heads, np.int64), np.array(sizes, np.uint8)
-        bucket = (np.array(hashes, np.int64).view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        ids, texts = batch["doc_id"].to_pylist(), [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch["text"]]
+        asked = batch["asked"]
+        of = np.repeat(np.arange(len(ids)), np.diff(asked.offsets.to_numpy()))
+        fields = asked.flatten()
+        first, wins, goal = (fields.field(c).to_numpy().astype(np.int64) for c in ("first", "wins", "goal"))
+        doc = np.array(ids, np.int64)[of]
         out: tuple[list, list, list, list] = ([], [], [], [])
-        o = np.argsort(bucket, kind="stable")
-        edges = np.r_[np.nonzero(np.r_[True, bucket[o][1:] != bucket[o][:-1]])[0], len(o)]
+        wide = np.nonzero(goal < 0)[0]
+        if len(wide):
+            a, b, d, at = _one_by_one(texts, of[wide], doc[wide], first[wide], first[wide] + wins[wide], length)
+            _deal("w", (a % np.uint64(groups)).astype(np.int64), [a, b, d, at], out)
+        o = np.argsort(goal, kind="stable")
+        o = o[goal[o] >= 0]
+        edges = np.r_[np.nonzero(np.r_[True, goal[o][1:] != goal[o][:-1]][: len(o)])[0], len(o)]
         for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             own = o[s:e]
-            head = _pack(doc[own], first[own], wins[own])
-            body = b"".join([parts[k] for k in own.tolist()])
-            for x, value in zip(out, (int(bucket[own[0]]), "s", e - s, len(head).to_bytes(4, "big") + head + pa.compress(body, codec="zstd", asbytes=True)), strict=True):
+            head = _pack(doc[own], first[own], wins[own].astype(np.uint8))
+            body = b"".join([texts[r][f : f + w + length] for r, f, w in zip(of[own].tolist(), first[own].tolist(), wins[own].tolist(), strict=True)])
+            for x, value in zip(out, (int(goal[own[0]]), "s", e - s, len(head).to_bytes(4, "big") + head + pa.compress(body, codec="zstd", asbytes=True)), strict=True):
                 x.append(value)
-        yield _batch(*out)
+        if out[0]:
+            yield _batch(*out)
 
 
 def two_stage_order(x: np.ndarray, depth: int) -> np.ndarray:
@@ -402,15 +415,34 @@ def repeated_windows(doc: np.ndarray, first: np.ndarray, wins: np.ndarray, body:
 
 def _sort(table: pa.Table, length: int) -> pa.Table:
     """Step 3 for one bucket."""
-    parts, bodies = [], []
-    for n, data in zip(table["n"].to_pylist(), table["data"].to_pylist(), strict=True):
-        size = int.from_bytes(data[:4], "big")
-        parts.append(_unpack(data[4 : 4 + size], n, "i8", "i8", "u1"))
-        total = int(parts[-1][2].astype(np.int64).sum()) + n * length
-        bodies.append(pa.decompress(data[4 + size :], decompressed_size=total, codec="zstd", asbytes=True))
-    doc, first, wins = (np.concatenate(x) for x in zip(*parts, strict=True))
-    d, at = repeated_windows(doc, first, wins.astype(np.int64), b"".join(bodies), length)
-    d, s, e = _merge(d, at, at + length)
+    parts, bodies = [np.zeros(0, np.int64)] * 3, b""
+    packed = [(n, data) for k, n, data in zip(table["kind"].to_pylist(), table["n"].to_pylist(), table["data"].to_pylist(), strict=True) if k == "s"]
+    if packed:
+        heads, bytes_ = [], []
+        for n, data in packed:
+            size = int.from_bytes(data[:4], "big")
+            heads.append(_unpack(data[4 : 4 + size], n, "i8", "i8", "u1"))
+            total = int(heads[-1][2].astype(np.int64).sum()) + n * length
+            bytes_.append(pa.decompress(data[4 + size :], decompressed_size=total, codec="zstd", asbytes=True))
+        parts, bodies = [np.concatenate(x) for x in zip(*heads, strict=True)], b"".join(bytes_)
+    doc, first, wins = parts[0], parts[1], parts[2].astype(np.int64)
+    sizes = wins + length
+    ends = np.cumsum(sizes)
+    # equal strings are one: the earliest stands for them
+    order, seen, lead = np.lexsort((first, doc)), {}, np.zeros(len(doc), bool)
+    pieces = [bodies[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    for k in order.tolist():
+        lead[k] = seen.setdefault(pieces[k], k) == k
+    again = np.nonzero(~lead)[0]
+    # the same place twice (a repeated row) is no copy
+    to = np.array([seen[pieces[k]] for k in again.tolist()], np.int64)
+    again = again[(doc[again] != doc[to]) | (first[again] != first[to])] if len(again) else again
+    marks = [[doc[again], first[again], first[again] + sizes[again]], _copies(table, length)]
+    own = np.nonzero(lead)[0]
+    if len(own) > 1:
+        d, at = repeated_windows(doc[own], first[own], wins[own], b"".join([pieces[k] for k in own.tolist()]), length)
+        marks.append([d, at, at + length])
+    d, s, e = _merge(*[np.concatenate(x) for x in zip(*marks, strict=True)])
     return pa.table({"doc_id": pa.array(d), "s": pa.array(s), "e": pa.array(e)})
 
 
@@ -437,11 +469,13 @@ def _digest(batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def common_grams(docs: DataFrame, rows: int, length: int, gram: int, sample: int = 20_000, share: float = 0.002) -> np.ndarray:
+def common_grams(docs: DataFrame, rows: int, length: int, gram: int, sample: int = 100_000, share: float = 0.0005) -> np.ndarray:
     """Hashes of grams that anchor windows in many documents.
 
     They only steer how the work is dealt out - any set gives the same result -
-    so a bounded sample of documents is enough.
+    so a bounded sample of documents is enough: it keeps the first step's rows of
+    a gram, some 25 bytes each, below ``share`` of the documents.  The second step counts
+    exactly and bounds its buckets by a number.
     """
     every = max(1, rows // sample)
     least = max(8, int(share * rows / every))
@@ -459,34 +493,38 @@ def common_grams(docs: DataFrame, rows: int, length: int, gram: int, sample: int
     return np.array(sorted(r["h"] for r in found.select("h").collect()), np.int64).view(np.uint64)
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, bucket_bytes: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, bucket_bytes: int = 3_000_000, most: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` per document: what is left without the repeated bytes.
 
-    Rows with one id are one document and have one text: each gives the same
-    row.  Rows without an id are no documents: they come back whole and remove
+    Rows with one id and one text are one document: each gives the same row.
+    An id with several texts is an error, as nobody could say which of them comes
+    first.  Rows without an id are no documents: they come back whole and remove
     nothing.  Null texts count as empty; texts shorter than ``length`` bytes have
     nothing to remove; an empty table gives an empty result; other columns are
     not read.  Among equal strings the one with the smallest
-    document, then the smallest start, stays.
+    document, then the smallest start, stays.  The bytes of a gram in more than
+    ``most`` places don't meet in one bucket: its windows go one by one.
     """
     from tessera.llm.common import cut
 
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    size = text.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    rows, total = size["n"], int(size["bytes"] or 0)
-    buckets = min(1 << 20, total // bucket_bytes + 1)
     named = text.where("doc_id is not null")
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
+    own = named.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.min(hashed).alias("low"), F.max(hashed).alias("high"))
+    size = own.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count_if(F.col("low") != F.col("high")).alias("mixed")).first()
+    if size["mixed"]:
+        raise ValueError(f"{size['mixed']} ids have several texts")
+    rows, total = size["n"] or 0, int(size["bytes"] or 0)
+    buckets = groups = total // bucket_bytes + 1
     hot = common_grams(named, rows, length, gram)
     dealt = named.mapInArrow(lambda b: _scan(b, buckets, length, gram, hot), _ROW)
-    settled = cut(dealt.groupBy("bucket").applyInArrow(lambda t: _settle(t, length), _ROW))
-    asked_bytes = (settled.where("kind = 'r'").agg(F.sum("n")).first()[0] or 0) * (length + 40)
+    settled = cut(dealt.groupBy("bucket").applyInArrow(lambda t: _settle(t, length, groups, most), _ROW))
     asked = (
         settled.where("kind = 'r'")
-        .mapInArrow(lambda b: _rows(b, "r", _R, ["doc_id", "first", "wins", "h"]), "doc_id long, first long, wins long, h long")
+        .mapInArrow(lambda b: _rows(b, "r", _R, ["doc_id", "first", "wins", "goal"]), "doc_id long, first long, wins long, goal long")
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("first", "wins", "h")).alias("asked"))
+        .agg(F.collect_list(F.struct(F.col("first").cast("int").alias("first"), F.col("wins").cast("short").alias("wins"), "goal")).alias("asked"))
     )
-    groups = min(1 << 20, asked_bytes // bucket_bytes + 1)
     parts = text.join(asked.hint("shuffle_hash"), "doc_id").mapInArrow(lambda b: _cut_out(b, groups, length), _ROW)
     sorted_marks = parts.groupBy("bucket").applyInArrow(lambda t: _sort(t, length), "doc_id long, s long, e long")
     settled_marks = settled.where("kind = 'm'").mapInArrow(lambda b: _rows(b, "m", _M, ["doc_id", "s", "e"]), "doc_id long, s long, e long")
