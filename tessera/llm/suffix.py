@@ -312,7 +312,7 @@ def _cut_out(batches, groups: int, length: int) -> Iterator[pa.RecordBatch]:
         of = np.repeat(np.arange(len(ids)), np.diff(asked.offsets.to_numpy()))
         fields = asked.flatten()
         first, wins, goal = (fields.field(c).to_numpy().astype(np.int64) for c in ("first", "wins", "goal"))
-        doc = np.array(ids, np.int64)[of]
+        doc = np.array([i or 0 for i in ids], np.int64)[of]  # rows without an id are asked for nothing
         out: tuple[list, list, list, list] = ([], [], [], [])
         wide = np.nonzero(goal < 0)[0]
         if len(wide):
@@ -525,7 +525,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, bucket_by
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct(F.col("first").cast("int").alias("first"), F.col("wins").cast("short").alias("wins"), "goal")).alias("asked"))
     )
-    parts = text.join(asked.hint("shuffle_hash"), "doc_id").mapInArrow(lambda b: _cut_out(b, groups, length), _ROW)
+    # a left join like the last one, so that both share one exchange of the texts
+    parts = text.join(asked.hint("shuffle_hash"), "doc_id", "left").mapInArrow(lambda b: _cut_out(b, groups, length), _ROW)
     sorted_marks = parts.groupBy("bucket").applyInArrow(lambda t: _sort(t, length), "doc_id long, s long, e long")
     settled_marks = settled.where("kind = 'm'").mapInArrow(lambda b: _rows(b, "m", _M, ["doc_id", "s", "e"]), "doc_id long, s long, e long")
     marks = settled_marks.union(sorted_marks).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("marks"))
