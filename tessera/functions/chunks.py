@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import contains_ci, strip
+from tessera.functions.text import contains_ci, let, strip
 
 SIZE, OVERLAP = 1000, 100
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -90,19 +90,25 @@ def select_chunks(parts: Column, topic: Column, lead: Column, size: int = SIZE)
 
     A topic passage within the lead is dropped, and so is a lead within the topic passage.
     """
-    about = F.when(topic.isNotNull() & (topic != ""), F.get(F.filter(parts, lambda c: contains_ci(c, topic)), F.lit(0)))
-    first = opening(about, size)
-    entity = opening(F.coalesce(F.nullif(lead, F.lit("")), F.get(parts, F.lit(0))), size)
-    has = F.coalesce(entity != "", F.lit(False))
-    topic_alone = first.isNotNull() & ~(has & F.contains(entity, first))
     none = F.array().cast("array<string>")
-    chosen = (
-        F.when(topic_alone & has & ~F.contains(first, entity), F.array(first, entity))
-        .when(topic_alone, F.array(first))
-        .when(has, F.array(entity))
-        .otherwise(none)
-    )
-    return F.when(F.size(parts) > 0, chosen).otherwise(none)
+
+    def choose(x: Column) -> Column:
+        first, entity = x["first"], x["entity"]
+        has = F.coalesce(entity != "", F.lit(False))
+        topic_alone = first.isNotNull() & ~(has & F.contains(entity, first))
+        return (
+            F.when(topic_alone & has & ~F.contains(first, entity), F.array(first, entity))
+            .when(topic_alone, F.array(first))
+            .when(has, F.array(entity))
+            .otherwise(none)
+        )
+
+    def of_parts(p: Column) -> Column:
+        about = F.when(topic.isNotNull() & (topic != ""), F.get(F.filter(p, lambda c: contains_ci(c, topic)), F.lit(0)))
+        entity = opening(F.coalesce(F.nullif(lead, F.lit("")), F.get(p, F.lit(0))), size)
+        return F.when(F.size(p) > 0, let(F.struct(opening(about, size).alias("first"), entity.alias("entity")), choose)).otherwise(none)
+
+    return let(parts, of_parts)
 
 
 def section_chunks(lead: Column, pieces: Column, size: int = SIZE) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import described, render_path, strip
+from tessera.functions.text import described, let, render_path, strip
 
 
 def _topic_line(topic: Column | None) -> Column:
@@ -104,18 +104,21 @@ def parse_verdict(text: Column) -> Column:
         ),
     )
 
-    def last(key: str) -> Column:
-        own = F.filter(entries, lambda e: e["key"] == key)
-        return F.get(own, F.size(own) - 1)["value"]
-
     there = F.coalesce(text != "", F.lit(False))
-    yes = lambda key: there & F.coalesce(last(key) == "YES", F.lit(False))
-    return F.struct(
-        yes("grammar_fluency").alias("grammar"),
-        yes("answerable_from_source").alias("answerable"),
-        (there & F.coalesce(last("topic_relevant") != "NO", F.lit(True))).alias("topic"),
-        yes("ethics_privacy_safe").alias("ethics"),
-    )
+
+    def judged(pairs: Column) -> Column:
+        def last(key: str) -> Column:
+            return let(F.filter(pairs, lambda e: e["key"] == key), lambda own: F.get(own, F.size(own) - 1)["value"])
+
+        yes = lambda key: there & F.coalesce(last(key) == "YES", F.lit(False))
+        return F.struct(
+            yes("grammar_fluency").alias("grammar"),
+            yes("answerable_from_source").alias("answerable"),
+            (there & F.coalesce(last("topic_relevant") != "NO", F.lit(True))).alias("topic"),
+            yes("ethics_privacy_safe").alias("ethics"),
+        )
+
+    return let(entries, judged)
 
 
 def structurally_sound(question: Column, answer: Column) -> Column:

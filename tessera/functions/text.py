@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ _EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where lambdas use it for each of their elements."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """White space off both ends, by Unicode; Spark's ``trim`` takes spaces only."""
     return F.regexp_replace(c, _EDGE_SPACE, "")
@@ -74,8 +81,11 @@ def sentences(text: Column) -> Column:
 
 def sentence_batches(parts: Column, size: int = 3) -> Column:
     """Groups of ``size`` sentences, joined by spaces."""
-    starts = F.filter(F.sequence(F.lit(0), F.size(parts)), lambda i: (i % size == 0) & (i < F.size(parts)))
-    return F.transform(starts, lambda i: F.array_join(F.slice(parts, i + 1, F.lit(size)), " "))
+    def batches(p: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(p)), lambda i: (i % size == 0) & (i < F.size(p)))
+        return F.transform(starts, lambda i: F.array_join(F.slice(p, i + 1, F.lit(size)), " "))
+
+    return let(parts, batches)
 
 
 def render_path(nodes: Column, rels: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import contains_ci, relation_key, strip, term_clean, term_key
+from tessera.functions.text import contains_ci, let, relation_key, strip, term_clean, term_key
 from tessera.schema import TRIPLET
 
 _NONE = f"cast(array() as array<{TRIPLET}>)"
@@ -76,14 +76,14 @@ def marker_triplets(response: Column) -> Column:
     spaced = F.concat(F.lit(" "), F.regexp_replace(bare, r"(?U)\s+", " "), F.lit(" "))
 
     def of_subject(part: Column) -> Column:
-        pieces = F.split(part, "(?<= )<subj>(?= )")
-        head = strip(F.get(pieces, F.lit(0)))
-
-        def of_object(p: Column) -> Column:
-            sides = F.split(p, "(?<= )<obj>(?= )")
+        def triple(head: Column, sides: Column) -> Column:
             return F.struct(head.alias("head"), strip(F.coalesce(F.get(sides, F.size(sides) - 1), F.lit(""))).alias("relation"), strip(F.get(sides, F.lit(0))).alias("tail"), F.size(sides).alias("n"))
 
-        return F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), of_object)
+        def of_pieces(pieces: Column) -> Column:
+            rest = F.slice(pieces, F.lit(2), F.size(pieces))
+            return let(strip(F.get(pieces, F.lit(0))), lambda head: F.transform(rest, lambda p: let(F.split(p, "(?<= )<obj>(?= )"), lambda sides: triple(head, sides))))
+
+        return let(F.split(part, "(?<= )<subj>(?= )"), of_pieces)
 
     subjects = F.split(spaced, "(?<= )<triplet>(?= )")
     raw = F.flatten(F.transform(F.slice(subjects, F.lit(2), F.size(subjects)), of_subject))

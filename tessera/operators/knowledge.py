@@ -43,9 +43,13 @@ def ambiguous(candidates: DataFrame) -> DataFrame:
 
 
 def entity_band(candidates: DataFrame, delta: float = BAND) -> DataFrame:
-    """Candidates ``(term, score, ...)`` within ``delta`` of their term's best score; null scores stay."""
-    best = F.max("score").over(Window.partitionBy("term"))
-    return candidates.withColumn("_best", best).where(F.col("score").isNull() | (F.col("score") >= F.round(F.col("_best") - delta, 6))).drop("_best")
+    """Candidates ``(term, score, ...)`` within ``delta`` of their term's best score; null scores stay.
+
+    An aggregate and a join, so that a term with very many candidates isn't gathered in one task.
+    """
+    best = candidates.groupBy(F.col("term").alias("_term")).agg(F.max("score").alias("_best"))
+    kept = candidates.join(best, F.col("term").eqNullSafe(F.col("_term")))
+    return kept.where(F.col("score").isNull() | (F.col("score") >= F.col("_best") - delta)).select(*candidates.columns)
 
 
 def first_success(found: DataFrame) -> DataFrame:

@@ -49,8 +49,7 @@ sections AS (SELECT page_id, i, CASE WHEN i % 4 = 1 THEN 'References' WHEN i % 4
 bodies AS (SELECT p.page_id, p.title, p.summary, array_to_string(list_filter(list_concat([p.summary], coalesce(s.texts, [])), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g') <> ''), chr(10)) AS body
   FROM para p LEFT JOIN (SELECT page_id, list(text ORDER BY i) AS texts FROM sections WHERE i % 4 NOT IN (1, 2) GROUP BY page_id) s ON p.page_id = s.page_id)"""
 _WINDOWS = "list_transform(range(CAST(greatest(1, ceil((length({0}) - 100) / 900.0)) AS BIGINT)), lambda i: substring({0}, i * 900 + 1, 1000))"
-_TOPIC = "CASE WHEN doc_id % 3 = 0 THEN upper(substring(right(text, 12), 1, 8)) WHEN doc_id % 3 = 1 THEN substring(text, 3, 9) END"
-_ASCII = r"regexp_matches(text, '^[ -~\n]*$')"
+_TOPIC = "CASE WHEN doc_id % 3 = 0 THEN upper(replace(substring(right(text, 12), 1, 8), 'ß', 'ss')) WHEN doc_id % 3 = 1 THEN substring(text, 3, 9) END"
 
 
 def _star(query: str) -> str:
@@ -94,19 +93,19 @@ def _name_second(c: str) -> str:
 
 
 _RESPONSES = """
-resp AS (SELECT doc_id, CASE doc_id % 6
+resp AS (SELECT doc_id, pos, CASE (doc_id + pos) % 6
     WHEN 0 THEN 'Here: {"triplets": [' || whole || ', ' || whole || ']} done'
     WHEN 1 THEN 'Here: {"triplets": [{"head": "' || head || '", "relation": "' || relation || '", "tail": null}, ' || whole || ']} done'
     WHEN 2 THEN 'Here: {"triplets": [{"head": "' || head || '", "relation": "' || relation || '"}, {"head": "' || head || '", "relation": "' || relation || '", "tail": 5}]} done'
     WHEN 3 THEN '''head'': ''' || head || ''', ''relation'' : ''' || relation || ''',''tail'':''' || tail || ''''
     WHEN 4 THEN '{"triplets": [' || whole || '}' ELSE 'no triplet' END AS response
-  FROM (SELECT *, '{"head": "' || head || '", "relation": "' || relation || '", "tail": "' || tail || '"}' AS whole FROM trip WHERE pos = 0)),
-body AS (SELECT doc_id, response, substring(response, strpos(response, '{'), length(response) - strpos(reverse(response), '}') + 2 - strpos(response, '{')) AS b FROM resp
+  FROM (SELECT *, '{"head": "' || head || '", "relation": "' || relation || '", "tail": "' || tail || '"}' AS whole FROM trip)),
+body AS (SELECT doc_id, pos, response, substring(response, strpos(response, '{'), length(response) - strpos(reverse(response), '}') + 2 - strpos(response, '{')) AS b FROM resp
   WHERE strpos(response, '{') > 0 AND strpos(response, '}') > 0),
-elem AS (SELECT doc_id, x, i - 1 AS i, json_type(x, '$.head') = 'VARCHAR' AND json_type(x, '$.relation') = 'VARCHAR' AND coalesce(json_type(x, '$.tail'), '') = 'VARCHAR' AS ok
-  FROM (SELECT doc_id, unnest(json_extract(b, '$.triplets[*]')) AS x, generate_subscripts(json_extract(b, '$.triplets[*]'), 1) AS i FROM (SELECT * FROM body WHERE json_valid(b)))),
-good AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ord, x->>'$.head' AS head, x->>'$.relation' AS relation, x->>'$.tail' AS tail FROM elem WHERE ok),
-rx AS (SELECT doc_id, unnest(regexp_extract_all(response, pat, 1)) AS head, unnest(regexp_extract_all(response, pat, 2)) AS relation, unnest(regexp_extract_all(response, pat, 3)) AS tail,
+elem AS (SELECT doc_id, pos, x, i - 1 AS i, json_type(x, '$.head') = 'VARCHAR' AND json_type(x, '$.relation') = 'VARCHAR' AND coalesce(json_type(x, '$.tail'), '') = 'VARCHAR' AS ok
+  FROM (SELECT doc_id, pos, unnest(json_extract(b, '$.triplets[*]')) AS x, generate_subscripts(json_extract(b, '$.triplets[*]'), 1) AS i FROM (SELECT * FROM body WHERE json_valid(b)))),
+good AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id, pos ORDER BY i) - 1 AS ord, x->>'$.head' AS head, x->>'$.relation' AS relation, x->>'$.tail' AS tail FROM elem WHERE ok),
+rx AS (SELECT doc_id, pos, unnest(regexp_extract_all(response, pat, 1)) AS head, unnest(regexp_extract_all(response, pat, 2)) AS relation, unnest(regexp_extract_all(response, pat, 3)) AS tail,
   generate_subscripts(regexp_extract_all(response, pat, 1), 1) - 1 AS ord
   FROM (SELECT *, '["'']head["'']\\s*:\\s*["'']([^"'']+)["'']\\s*,\\s*["'']relation["'']\\s*:\\s*["'']([^"'']+)["'']\\s*,\\s*["'']tail["'']\\s*:\\s*["'']([^"'']+)["'']' AS pat FROM resp))"""
 
@@ -123,7 +122,7 @@ titles AS (SELECT title, min(page_id) AS page_id FROM para GROUP BY title),
 kept AS (SELECT term, ord, title, CASE WHEN page_id % 7 = 0 THEN 'disambiguation' WHEN page_id % 5 = 0 THEN 'missing' ELSE 'ok' END AS status FROM cand JOIN titles USING (title) WHERE page_id % 4 <> 0),
 amb AS (SELECT term, bool_or(ord = 0 AND status = 'disambiguation') AS is_ambiguous FROM kept GROUP BY term),
 parts AS (SELECT title, {_WINDOWS.format('body')} AS parts, substring({strip('body')}, 1, 300) AS entity FROM bodies JOIN titles USING (title, page_id)),
-top AS (SELECT title, entity, substring({strip("list_filter(parts, lambda c: contains(lower(c), 'the'))[1]")}, 1, 300) AS about FROM parts),
+top AS (SELECT title, substring({strip('entity')}, 1, 300) AS entity, substring({strip("list_filter(parts, lambda c: contains(lower(c), 'the'))[1]")}, 1, 300) AS about FROM parts),
 chosen AS (SELECT title, CASE WHEN about IS NOT NULL AND NOT (entity <> '' AND contains(entity, about)) THEN
    CASE WHEN entity <> '' AND NOT contains(about, entity) THEN [about, entity] ELSE [about] END WHEN entity <> '' THEN [entity] ELSE [] END AS chunks FROM top),
 won AS (SELECT k.term, k.title, c.chunks FROM kept k JOIN chosen c USING (title) JOIN amb a USING (term) WHERE NOT a.is_ambiguous AND k.status = 'ok' AND len(c.chunks) > 0
@@ -133,7 +132,7 @@ _SCORED = """
 scored AS (SELECT 'l' || v.label AS term, v.vec_id AS ord, 'v' || v.vec_id AS title,
   round(list_inner_product(v.embedding::DOUBLE[], a.anchor::DOUBLE[]) / (sqrt(list_inner_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_inner_product(a.anchor::DOUBLE[], a.anchor::DOUBLE[]))), 6) AS score
   FROM embeddings v JOIN (SELECT label, arg_min(embedding, vec_id) AS anchor FROM embeddings GROUP BY label) a ON v.label = a.label),
-band AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY term) AS best FROM scored WHERE score < 0.999999) WHERE score >= round(best - 0.15, 6))"""
+band AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY term) AS best FROM scored) WHERE score >= best - 0.15::DOUBLE)"""
 
 _ENDS = f"""'Path: (' || n0 || ')-[:' || r0 || ']->(' || n1 || ')-[:' || r1 || ']->(' || n2 || ')' || chr(10) || 'From: ' || n0 || ' = ' || coalesce(nullif(a.description, ''), '{PLACEHOLDER}')
   || chr(10) || 'To: ' || n2 || ' = ' || coalesce(nullif(z.description, ''), '{PLACEHOLDER}')"""
@@ -224,22 +223,22 @@ def oracle_sql() -> dict[str, str]:
     q["triplet_grounded_in_sentence"] = _trip("""SELECT doc_id, count(*) AS n FROM (SELECT *, CASE WHEN pos % 3 = 0 THEN tail || 'q' ELSE tail END AS t FROM trip)
       WHERE contains(lower(sentence), head) AND contains(lower(sentence), t) GROUP BY doc_id""")
     q["triplet_model_validate"] = _trip("SELECT doc_id, count(*) AS n FROM trip WHERE pos % 3 = 0 GROUP BY doc_id")
-    q["triplet_well_formed"] = _trip("SELECT doc_id, ord, head, relation, tail FROM good", _RESPONSES)
-    q["triplet_malformed_counts"] = _trip("SELECT doc_id, count(*) FILTER (ok) AS usable, count(*) FILTER (NOT ok) AS malformed FROM elem GROUP BY doc_id", _RESPONSES)
-    q["triplet_regex_fallback"] = _trip("SELECT doc_id, ord, head, relation, tail FROM rx", _RESPONSES)
+    q["triplet_well_formed"] = _trip("SELECT doc_id, pos, ord, head, relation, tail FROM good", _RESPONSES)
+    q["triplet_malformed_counts"] = _trip("SELECT doc_id, pos, count(*) FILTER (ok) AS usable, count(*) FILTER (NOT ok) AS malformed FROM elem GROUP BY doc_id, pos", _RESPONSES)
+    q["triplet_regex_fallback"] = _trip("SELECT doc_id, pos, ord, head, relation, tail FROM rx", _RESPONSES)
     q["triplet_json_parse"] = _trip(
-        "SELECT doc_id, ord, head, relation, tail FROM good UNION ALL SELECT doc_id, ord, head, relation, tail FROM rx WHERE doc_id NOT IN (SELECT doc_id FROM good)", _RESPONSES
+        "SELECT doc_id, pos, ord, head, relation, tail FROM good UNION ALL SELECT doc_id, pos, ord, head, relation, tail FROM rx WHERE (doc_id, pos) NOT IN (SELECT (doc_id, pos) FROM good)", _RESPONSES
     )
-    q["triplet_marker_parse"] = _trip("""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS ord, h AS head, r AS relation, t AS tail FROM (
-      SELECT doc_id, 0 AS k, head AS h, relation AS r, tail AS t FROM trip WHERE pos = 0
-      UNION ALL SELECT doc_id, 1, head, 'part of', relation FROM trip WHERE pos = 0 AND doc_id % 4 <> 0
-      UNION ALL SELECT doc_id, 2, tail, 'in', head FROM trip WHERE pos = 0)""")
+    q["triplet_marker_parse"] = _trip("""SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id, pos ORDER BY k) - 1 AS ord, h AS head, r AS relation, t AS tail FROM (
+      SELECT doc_id, pos, 0 AS k, head AS h, relation AS r, tail AS t FROM trip
+      UNION ALL SELECT doc_id, pos, 1, head, 'part of', relation FROM trip WHERE (doc_id + pos) % 4 <> 0
+      UNION ALL SELECT doc_id, pos, 2, tail, 'in', head FROM trip)""")
     q["kb_candidates"] = f"WITH {_PAGES}, {_SEARCH} SELECT term, ord, title, score FROM cand"
     q["kb_body_sections"] = f"WITH {_PAGES} SELECT page_id, title, text FROM sections WHERE i % 4 NOT IN (1, 2)"
     q["kb_body_text"] = f"WITH {_PAGES} SELECT page_id, body FROM bodies"
     q["kb_opening_window"] = f"SELECT doc_id, substring({strip('text')}, 1, 1000) AS opening FROM documents"
     q["chunk_fixed_window"] = f"SELECT doc_id, unnest({_WINDOWS.format('text')}) AS chunk, generate_subscripts({_WINDOWS.format('text')}, 1) - 1 AS pos FROM documents"
-    q["kb_select_chunks"] = f"""WITH x AS (SELECT doc_id, {_WINDOWS.format('text')} AS parts, {_TOPIC} AS topic, CASE WHEN doc_id % 2 = 0 THEN substring({strip('text')}, 1, 1000) END AS lead FROM documents WHERE {_ASCII}),
+    q["kb_select_chunks"] = f"""WITH x AS (SELECT doc_id, {_WINDOWS.format('text')} AS parts, {_TOPIC} AS topic, CASE WHEN doc_id % 2 = 0 THEN substring({strip('text')}, 1, 1000) END AS lead FROM documents),
       y AS (SELECT doc_id, CASE WHEN topic <> '' THEN substring({strip("list_filter(parts, lambda c: contains(lower(c), lower(topic)))[1]")}, 1, 600) END AS about, substring({strip("coalesce(nullif(lead, ''), parts[1])")}, 1, 600) AS entity FROM x),
       z AS (SELECT doc_id, CASE WHEN about IS NOT NULL AND NOT (entity <> '' AND contains(entity, about)) THEN CASE WHEN entity <> '' AND NOT contains(about, entity) THEN [about, entity] ELSE [about] END WHEN entity <> '' THEN [entity] ELSE [] END AS c FROM y)
       SELECT doc_id, CAST(len(c) AS BIGINT) AS n, array_to_string(c, '|') AS chunks FROM z"""
@@ -250,7 +249,7 @@ def oracle_sql() -> dict[str, str]:
     q["kb_ranked_lookup"] = f"WITH {_SCORED} SELECT term, ord, title, round(score, 1) AS topic_score FROM band QUALIFY row_number() OVER (PARTITION BY term ORDER BY round(score, 1) DESC, ord) = 1"
     q["kb_lookup_chunks"] = f"WITH {_PAGES}, {_SEARCH}, {_LOOKED} SELECT term, title, CAST(coalesce(len(chunks), 0) AS BIGINT) AS n, is_ambiguous FROM looked"
     q["kb_lookup_summary"] = f"WITH {_PAGES}, {_SEARCH}, {_LOOKED} SELECT term, nullif(array_to_string(chunks, chr(10) || chr(10)), '') AS summary, is_ambiguous FROM looked"
-    q["kb_pdf_like_lookup"] = f"""WITH x AS (SELECT doc_id, {_WINDOWS.format('text')} AS parts, coalesce({_TOPIC}, 'zqzq') AS topic FROM documents WHERE {_ASCII})
+    q["kb_pdf_like_lookup"] = f"""WITH x AS (SELECT doc_id, {_WINDOWS.format('text')} AS parts, coalesce({_TOPIC}, 'zqzq') AS topic FROM documents)
       SELECT doc_id, substring(coalesce(list_filter(parts, lambda c: contains(lower(c), lower(topic)))[1],
         CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 AND len(parts) > 1 THEN parts[2] WHEN doc_id % 5 = 2 AND len(parts) > 99 THEN parts[100] ELSE parts[1] END), 1, 200) AS passage FROM x"""
     q["describe_pending_terms"] = _trip("""SELECT DISTINCT name FROM (SELECT head AS name FROM trip UNION ALL SELECT tail FROM trip)

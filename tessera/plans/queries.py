@@ -203,23 +203,23 @@ def triplet_model_validate(s, d):
 
 
 def _responses(s, d) -> DataFrame:
-    """A model's response for each document's first sentence: well formed, with gaps, as quoted pairs or without braces."""
+    """A model's response for each sentence: well formed, with gaps, as quoted pairs or without braces."""
     q = lambda k, v: F.concat(F.lit(f'"{k}": "'), v, F.lit('"'))
     h, r, t = F.col("head"), F.col("relation"), F.col("tail")
     whole = F.concat(F.lit("{"), q("head", h), F.lit(", "), q("relation", r), F.lit(", "), q("tail", t), F.lit("}"))
     gap = lambda x: F.concat(F.lit("{"), q("head", h), F.lit(", "), q("relation", r), F.lit(x), F.lit("}"))
     wrap = lambda *xs: F.concat(F.lit('Here: {"triplets": ['), *[y for i, x in enumerate(xs) for y in ((F.lit(", "), x) if i else (x,))], F.lit("]} done"))
-    k = F.col("doc_id") % 6
+    k = (F.col("doc_id") + F.col("pos")) % 6
     response = (
         F.when(k == 0, wrap(whole, whole)).when(k == 1, wrap(gap(', "tail": null'), whole)).when(k == 2, wrap(gap(""), gap(', "tail": 5')))
         .when(k == 3, F.concat(F.lit("'head': '"), h, F.lit("', 'relation' : '"), r, F.lit("','tail':'"), t, F.lit("'")))
         .when(k == 4, F.concat(F.lit('{"triplets": ['), whole, F.lit("}"))).otherwise("no triplet")
     )
-    return text_triplets(s, d).where("pos = 0").select("doc_id", response.alias("response"))
+    return text_triplets(s, d).select("doc_id", F.col("pos").cast("long").alias("pos"), response.alias("response"))
 
 
 def _exploded(df: DataFrame, found: Column) -> DataFrame:
-    return df.select("doc_id", F.posexplode(found).alias("ord", "t")).select("doc_id", F.col("ord").cast("long").alias("ord"), "t.head", "t.relation", "t.tail")
+    return df.select("doc_id", "pos", F.posexplode(found).alias("ord", "t")).select("doc_id", "pos", F.col("ord").cast("long").alias("ord"), "t.head", "t.relation", "t.tail")
 
 
 def triplet_well_formed(s, d):
@@ -227,8 +227,8 @@ def triplet_well_formed(s, d):
 
 
 def triplet_malformed_counts(s, d):
-    counts = _responses(s, d).select("doc_id", triples.json_counts(F.col("response")).alias("c")).where("c is not null")
-    return counts.select("doc_id", F.col("c.usable").cast("long").alias("usable"), F.col("c.malformed").cast("long").alias("malformed"))
+    counts = _responses(s, d).select("doc_id", "pos", triples.json_counts(F.col("response")).alias("c")).where("c is not null")
+    return counts.select("doc_id", "pos", F.col("c.usable").cast("long").alias("usable"), F.col("c.malformed").cast("long").alias("malformed"))
 
 
 def triplet_regex_fallback(s, d):
@@ -240,12 +240,12 @@ def triplet_json_parse(s, d):
 
 
 def triplet_marker_parse(s, d):
-    first = text_triplets(s, d).where("pos = 0")
+    said = text_triplets(s, d)
     response = F.concat(
         F.lit("<s><triplet> "), "head", F.lit(" <subj>  "), "tail", F.lit(" <obj> "), "relation", F.lit(" <subj> "), "relation", F.lit(" <obj> "),
-        F.when(F.col("doc_id") % 4 == 0, "").otherwise("part\nof"), F.lit(" <triplet> "), "tail", F.lit(" <subj> "), "head", F.lit(" <obj> in</s>"),
+        F.when((F.col("doc_id") + F.col("pos")) % 4 == 0, "").otherwise("part\nof"), F.lit(" <triplet> "), "tail", F.lit(" <subj> "), "head", F.lit(" <obj> in</s>"),
     )
-    return _exploded(first.select("doc_id", response.alias("response")), triples.marker_triplets(F.col("response")))
+    return _exploded(said.select("doc_id", F.col("pos").cast("long").alias("pos"), response.alias("response")), triples.marker_triplets(F.col("response")))
 
 
 # external knowledge
@@ -289,8 +289,7 @@ def _topic() -> Column:
 
 def kb_select_chunks(s, d):
     parts = ch.fixed_windows(F.col("text"))
-    docs = table(s, d, "documents").where("text rlike '^[ -~\\n]*$'")
-    picked = docs.select("doc_id", ch.select_chunks(parts, _topic(), F.when(F.col("doc_id") % 2 == 0, ch.opening(F.col("text"))), 600).alias("c"))
+    picked = table(s, d, "documents").select("doc_id", ch.select_chunks(parts, _topic(), F.when(F.col("doc_id") % 2 == 0, ch.opening(F.col("text"))), 600).alias("c"))
     return picked.select("doc_id", F.size("c").cast("long").alias("n"), F.array_join("c", "|").alias("chunks"))
 
 
@@ -337,11 +336,11 @@ def _scored(s, d):
 
 
 def kb_entity_band(s, d):
-    return kb.entity_band(_scored(s, d).where("score < 0.999999"))
+    return kb.entity_band(_scored(s, d))
 
 
 def kb_ranked_lookup(s, d):
-    scored = kb.entity_band(_scored(s, d).where("score < 0.999999"))
+    scored = kb.entity_band(_scored(s, d))
     return kb.best_topic(scored.withColumn("topic_score", F.round(F.col("score"), 1)).drop("score")).select("term", "ord", "title", "topic_score")
 
 
@@ -372,8 +371,7 @@ def kb_lookup_summary(s, d):
 def kb_pdf_like_lookup(s, d):
     k = F.col("doc_id")
     said = F.when(k % 5 == 0, " None ").when(k % 5 == 1, "1").when(k % 5 == 2, "99").when(k % 5 == 3, "the first")
-    docs = table(s, d, "documents").where("text rlike '^[ -~\\n]*$'")
-    return docs.select("doc_id", ch.pdf_passage(ch.fixed_windows(F.col("text")), F.coalesce(_topic(), F.lit("zqzq")), said, 200).alias("passage"))
+    return table(s, d, "documents").select("doc_id", ch.pdf_passage(ch.fixed_windows(F.col("text")), F.coalesce(_topic(), F.lit("zqzq")), said, 200).alias("passage"))
 
 
 # growth

@@ -8,14 +8,11 @@ from tests.oracle import compare, connect
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
 
 
-@pytest.fixture(scope="module")
-def con(sf):
-    return connect(sf)
-
-
+@pytest.mark.parametrize("scale", ["0.001", "0.01"])
 @pytest.mark.parametrize("name", sorted(SQL))
-def test_query_equals_sql(name, spark, sf, con):
-    assert compare(QUERIES[name](spark, sf), con, SQL[name]) == ""
+def test_query_equals_sql(name, scale, spark):
+    folder = f"/root/testdata/sf{scale}"
+    assert compare(QUERIES[name](spark, folder), connect(folder), SQL[name]) == ""
 
 
 def _sentences(text):
