@@ -63,6 +63,16 @@ def chunks(text: Column) -> Column:
     return F.pandas_udf("array<string>")(split)(text)
 
 
+def first_chunks(texts: Column) -> Column:
+    """The first chunk of each text of an array; empty where there is none."""
+
+    def split(arrays: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in arrays:
+            yield series.map(lambda ts: None if ts is None else [(split_text(t) or [""])[0] if t else "" for t in ts])
+
+    return F.pandas_udf("array<string>")(split)(texts)
+
+
 def fixed_windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """Windows of ``size`` characters every ``size - overlap``: the splitter's form without separators."""
     stride = size - overlap

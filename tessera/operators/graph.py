@@ -28,6 +28,10 @@ class KnowledgeGraph:
         """Outgoing neighbours; the filter reaches the scan of the edges."""
         return self.edges.where(F.col("src") == term.lower()).select(F.col("rel").alias("relation"), F.col("dst").alias("related_term"))
 
+    def sql(self, query: str, args: dict | None = None) -> DataFrame:
+        """A read with named parameters (``:name``) over the frames ``{terms}`` and ``{edges}``; errors are raised."""
+        return self.terms.sparkSession.sql(query, args=args, terms=self.terms, edges=self.edges)
+
     def describe(self, names: DataFrame) -> DataFrame:
         """``name`` of the given rows with what is stored of it, in one join."""
         return names.join(self.terms, "name", "left")

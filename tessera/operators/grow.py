@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import seed_term, strip
-from tessera.operators.graph import KnowledgeGraph, build_edges, description_rows, merge_edges, merge_nodes, merge_terms, seed_terms, top_k
+from tessera.lineage import cut
+from tessera.operators.graph import KnowledgeGraph, build_edges, description_rows, first_of_description, merge_edges, merge_nodes, merge_terms, seed_terms, top_k
 from tessera.schema import FAILED, NOT_AVAILABLE, SENTINELS, AgentProfile
 
 #: ``texts(key, text)`` to ``(key, pos, head, relation, tail)``, cleaned and without repeats.
@@ -66,32 +66,37 @@ def grounding_stats(found: DataFrame) -> DataFrame:
     )
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Ends a level's lineage in the cluster's shared checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
+def _context(level: DataFrame) -> DataFrame:
+    """``(name, parent, source)`` of a level's terms: a tail's parent, and the text or term that the triplet came from."""
+    ends = level.select(F.explode(F.array(F.struct(F.col("head").alias("name"), F.lit(None).cast("string").alias("parent"), "source"), F.struct(F.col("tail").alias("name"), "parent", "source"))).alias("e")).select("e.*")
+    return ends.groupBy("name").agg(F.min("parent").alias("parent"), F.min("source").alias("source"))
 
 
 def expand(graph: KnowledgeGraph, triplets: DataFrame, extract: Extractor, describe: Describer, profile: AgentProfile, max_depth: int) -> KnowledgeGraph:
-    """Adds ``triplets(key, pos, parent, head, relation, tail)`` and what follows from their tails' descriptions.
+    """Adds ``triplets(key, pos, parent, head, relation, tail[, source])`` and what follows from their tails' descriptions.
 
     Level by level: terms and descriptions are merged, edges built, then each
     distinct tail is expanded once, at its smallest depth, by the first
     ``branch_cap`` triplets of its description.  Depths 0 and 1 stop after the
-    first level.  One pass of joins for each level; nothing is collected.
+    first level.  ``source`` is the text that the triplets were read from; deeper
+    levels have their parent's name.  A description that was generated before, for
+    another term, isn't stored again: of one level's, the smallest name keeps it.
+    One pass of joins for each level; nothing is collected.
     """
-    terms, edges, level = graph.terms, graph.edges, triplets
-    seen = None
+    terms, edges = graph.terms, graph.edges
+    level = triplets if "source" in triplets.columns else triplets.withColumn("source", F.col("parent"))
+    seen = made = None
     for depth in range(1, max(1, max_depth) + 1):
-        level = _cut(level.where("tail != ''"))
+        level = cut(level.where("tail != ''"))
         terms = merge_nodes(terms, level.select(F.explode(F.array("head", "tail")).alias("name")).where("name != ''").distinct())
-        asked = pending(level, terms)
-        parent = level.groupBy(F.col("tail").alias("name")).agg(F.min("parent").alias("parent"))
-        found = describe(asked.join(parent, "name", "left").withColumn("source", F.col("parent")))
-        terms = _cut(merge_terms(terms, description_rows(found)))
-        edges = _cut(merge_edges(edges, build_edges(level, terms, profile)))
+        found = describe(pending(level, terms).join(_context(level), "name", "left"))
+        fresh = first_of_description(description_rows(found), "name").where("description is not null")
+        if made is not None:
+            fresh = fresh.join(made, "description", "left_anti").select(*fresh.columns)
+        fresh = cut(fresh)
+        made = fresh.select("description") if made is None else made.union(fresh.select("description"))
+        terms = cut(merge_terms(terms, fresh))
+        edges = cut(merge_edges(edges, build_edges(level, terms, profile)))
         if depth >= max_depth:
             break
         tails = level.select(F.col("tail").alias("name")).distinct()
@@ -101,17 +106,24 @@ def expand(graph: KnowledgeGraph, triplets: DataFrame, extract: Extractor, descr
         if profile.gate_on_fact_check:
             tails = gate(tails, terms)
         texts = tails.join(terms.where(usable(F.col("description"))), "name").select(F.col("name").alias("key"), F.col("description").alias("text"))
-        level = branches(extract(texts), profile.branch_cap).withColumn("parent", F.col("key"))
+        level = branches(extract(texts), profile.branch_cap).withColumns({"parent": F.col("key"), "source": F.col("key")})
     return KnowledgeGraph(terms, edges)
 
 
-def from_seeds(graph: KnowledgeGraph, seeds: DataFrame, extract: Extractor, describe: Describer, profile: AgentProfile, max_depth: int) -> KnowledgeGraph:
+def from_seeds(
+    graph: KnowledgeGraph, seeds: DataFrame, extract: Extractor, describe: Describer, profile: AgentProfile, max_depth: int, check: Callable[[DataFrame], DataFrame] | None = None
+) -> KnowledgeGraph:
     """Adds ``seeds(ord, prompt, response)``: a term for each prompt, described by its response, and what the response says.
 
-    A failed response is the sentinel text, which is mined like any other.
+    A failed response is the sentinel text, which is mined like any other.  A
+    profile that validates its top level keeps the triplets that ``check`` confirms;
+    those found deeper aren't checked.
     """
-    ready = seeds.select("ord", seed_term(F.col("prompt")).alias("term"), F.coalesce("response", F.lit(FAILED)).alias("description"))
+    ready = seeds.select(F.col("ord").cast("string").alias("key"), "ord", seed_term(F.col("prompt")).alias("term"), F.coalesce("response", F.lit(FAILED)).alias("description"))
     terms = merge_terms(graph.terms, seed_terms(ready, profile))
-    said = extract(ready.select(F.col("ord").cast("string").alias("key"), F.col("description").alias("text")))
-    parents = ready.select(F.col("ord").cast("string").alias("key"), F.col("term").alias("parent"))
-    return expand(KnowledgeGraph(terms, graph.edges), said.join(parents, "key"), extract, describe, profile, max_depth)
+    said = extract(ready.select("key", F.col("description").alias("text")))
+    known = ready.select("key", F.col("term").alias("parent"), F.col("description").alias("source"))
+    rows = said.join(known, "key")
+    if profile.validate_top_level and check is not None:
+        rows = check(rows.withColumn("text", F.col("source"))).drop("text")
+    return expand(KnowledgeGraph(terms, graph.edges), rows, extract, describe, profile, max_depth)

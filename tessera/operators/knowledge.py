@@ -10,18 +10,24 @@ from tessera.functions.text import strip
 BAND = 0.15
 
 
-def search(terms: DataFrame, pages: DataFrame, top: int = 5) -> DataFrame:
+def search(terms: DataFrame, pages: DataFrame, top: int = 5, rarest: int = 3) -> DataFrame:
     """The best ``top`` pages of each term by shared title words: ``(term, ord, title, score)``.
 
-    A stand-in for an online search, whose ranking can't be had offline.  Words
-    are joined as an equi-join, so only pages that share a word with a term meet.
+    A stand-in for an online search, whose ranking can't be had offline.  A page is
+    a candidate if it has one of the term's ``rarest`` words (those in the fewest
+    titles, in alphabetical order among equals); all shared words then count for the score.  So
+    common words bring no pairs together, unless a term has no others.
     """
     tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    asked = terms.select("term").distinct().select("term", F.explode(tokens(F.col("term"))).alias("word"))
-    offered = pages.select("title").where("title is not null").distinct().select("title", F.explode(tokens(F.col("title"))).alias("word"))
-    scored = asked.join(offered, "word").groupBy("term", "title").agg(F.count("*").alias("score"))
+    asked = terms.select("term").distinct().select("term", tokens(F.col("term")).alias("own"))
+    offered = pages.select("title").where("title is not null").distinct().select("title", tokens(F.col("title")).alias("words"))
+    by_word = offered.select("title", "words", F.explode("words").alias("word"))
+    found_in = by_word.groupBy("word").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("term").orderBy("df", "word"))
+    keys = asked.select("term", "own", F.explode("own").alias("word")).join(found_in, "word").withColumn("k", rank).where(F.col("k") <= rarest)
+    met = keys.join(by_word, "word").select("term", "title", F.size(F.array_intersect("own", "words")).cast("long").alias("score")).distinct()
     order = Window.partitionBy("term").orderBy(F.desc("score"), "title")
-    return scored.withColumn("ord", F.row_number().over(order) - 1).where(F.col("ord") < top).select("term", "ord", "title", "score")
+    return met.withColumn("ord", F.row_number().over(order) - 1).where(F.col("ord") < top).select("term", "ord", "title", "score")
 
 
 def relevant(candidates: DataFrame, response: Column) -> DataFrame:

@@ -115,8 +115,10 @@ checked AS (SELECT 't' || (page_id % 50) AS term, CAST(page_id // 50 AS BIGINT)
 _SEARCH = r"""
 tw AS (SELECT term, unnest(list_distinct(regexp_extract_all(lower(term), '[\p{L}\p{N}]+'))) AS word FROM (SELECT DISTINCT lower(title) AS term FROM para)),
 pw AS (SELECT title, unnest(list_distinct(regexp_extract_all(lower(title), '[\p{L}\p{N}]+'))) AS word FROM (SELECT DISTINCT title FROM para)),
+rare AS (SELECT term, word FROM tw JOIN (SELECT word, count(*) AS df FROM pw GROUP BY word) USING (word) QUALIFY row_number() OVER (PARTITION BY term ORDER BY df, word) <= 3),
+met AS (SELECT DISTINCT term, title FROM rare JOIN pw USING (word)),
 cand AS (SELECT * FROM (SELECT term, title, score, row_number() OVER (PARTITION BY term ORDER BY score DESC, title) - 1 AS ord
-  FROM (SELECT term, title, count(*) AS score FROM tw JOIN pw USING (word) GROUP BY ALL)) WHERE ord < 5)"""
+  FROM (SELECT m.term, m.title, count(*) AS score FROM met m JOIN tw ON tw.term = m.term JOIN pw ON pw.title = m.title AND pw.word = tw.word GROUP BY ALL)) WHERE ord < 5)"""
 _LOOKED = f"""
 titles AS (SELECT title, min(page_id) AS page_id FROM para GROUP BY title),
 kept AS (SELECT term, ord, title, CASE WHEN page_id % 7 = 0 THEN 'disambiguation' WHEN page_id % 5 = 0 THEN 'missing' ELSE 'ok' END AS status FROM cand JOIN titles USING (title) WHERE page_id % 4 <> 0),
@@ -162,6 +164,42 @@ two AS (SELECT src AS n0, dst AS nz, 1 AS k, [src, dst] AS ns, [rel] AS rs FROM
   UNION ALL SELECT n0, n2, 2, [n0, n1, n2], [r0, r1] FROM trade)"""
 
 
+def _said(source: str) -> str:
+    """Cleaned triplets of ``(key, text)``, the first of each undirected one: the stand-in extractor."""
+    sentence = _SENTENCES.format("text")
+    return rf"""(SELECT key, pos, head, relation, tail FROM (
+      SELECT key, pos, w[1] AS head, CASE WHEN regexp_matches(w[2], '^\p{{Nd}}') THEN '_' ELSE '' END || w[2] AS relation, w[-1] AS tail
+      FROM (SELECT key, pos, {_WORDS.format('sentence')} AS w FROM (SELECT key, unnest({sentence}) AS sentence, generate_subscripts({sentence}, 1) - 1 AS pos FROM ({source}))) WHERE len(w) >= 3)
+      QUALIFY row_number() OVER (PARTITION BY key, least(head, tail), greatest(head, tail), relation ORDER BY pos) = 1)"""
+
+
+def _grown(depth: int, chat: bool, result: str) -> str:
+    """The levels of growth from conversations, unrolled."""
+    name = _name_first("lower(prompt)") if chat else _name_second("lower(prompt)")
+    parts = [
+        _SEEDS.strip(),
+        f"named AS (SELECT ord, {name} AS name, {_clean_description('response')} AS description FROM seeds)",
+        "firsts AS (SELECT * FROM named" + (" QUALIFY ord = min(ord) OVER (PARTITION BY description))" if chat else ")"),
+        f"terms0 AS (SELECT name, arg_max(description, ord) AS description, '{'Yes' if chat else 'No'}' AS fact_checked FROM firsts GROUP BY name)",
+        f"level1 AS (SELECT x.*, {strip('lower(prompt)')} AS parent FROM {_said('SELECT ord::VARCHAR AS key, response AS text FROM seeds')} x JOIN seeds ON key = ord::VARCHAR)",
+    ]
+    for k in range(1, depth + 1):
+        about = "n.name || ' is part of ' || coalesce(parent, 'all') || '. ' || n.name || ' has x' || n.name || '.'"
+        parts.append(f"""new{k} AS (SELECT n.name, {_clean_description(about)} AS description, CASE WHEN contains(n.name, 's') THEN 'No' ELSE 'Yes' END AS fact_checked
+          FROM (SELECT head AS name FROM level{k} UNION SELECT tail FROM level{k}) n LEFT JOIN (SELECT tail, min(parent) AS parent FROM level{k} GROUP BY tail) p ON p.tail = n.name
+          WHERE n.name NOT IN (SELECT name FROM terms{k - 1} WHERE description IS NOT NULL))""")
+        parts.append(f"terms{k} AS (SELECT * FROM terms{k - 1} WHERE name NOT IN (SELECT name FROM new{k}) UNION ALL SELECT * FROM new{k})")
+        if k < depth:
+            done = " ".join(f"AND tail NOT IN (SELECT tail FROM level{j})" for j in range(1, k))
+            gate = "AND fact_checked = 'Yes'" if chat else ""
+            texts = f"SELECT name AS key, description AS text FROM terms{k} WHERE name IN (SELECT tail FROM level{k} WHERE true {done}) {gate} AND description <> ''"
+            parts.append(f"level{k + 1} AS (SELECT *, key AS parent FROM {_said(texts)} QUALIFY row_number() OVER (PARTITION BY key ORDER BY pos) <= {2 if chat else 3})")
+    parent = strip("replace(parent, '_', ' ')") if chat else "parent"
+    both = " UNION ALL ".join(f"SELECT {parent} AS src, relation, tail AS dst FROM level{k} UNION ALL SELECT head, relation, tail FROM level{k}" for k in range(1, depth + 1))
+    parts.append(f"edges AS (SELECT DISTINCT src, upper(replace(relation, 'ß', 'ss')) AS rel, dst FROM ({both}) WHERE src IN (SELECT name FROM terms{depth}) AND dst IN (SELECT name FROM terms{depth}))")
+    return f"WITH {', '.join(parts)} {result}"
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["kg_all_triples"] = _star("SELECT src AS subject, rel AS predicate, dst AS object FROM star_edges")
@@ -242,6 +280,9 @@ def oracle_sql() -> dict[str, str]:
       y AS (SELECT doc_id, CASE WHEN topic <> '' THEN substring({strip("list_filter(parts, lambda c: contains(lower(c), lower(topic)))[1]")}, 1, 600) END AS about, substring({strip("coalesce(nullif(lead, ''), parts[1])")}, 1, 600) AS entity FROM x),
       z AS (SELECT doc_id, CASE WHEN about IS NOT NULL AND NOT (entity <> '' AND contains(entity, about)) THEN CASE WHEN entity <> '' AND NOT contains(about, entity) THEN [about, entity] ELSE [about] END WHEN entity <> '' THEN [entity] ELSE [] END AS c FROM y)
       SELECT doc_id, CAST(len(c) AS BIGINT) AS n, array_to_string(c, '|') AS chunks FROM z"""
+    q["kb_section_chunks"] = f"""WITH {_PAGES}, c AS (SELECT page_id, -1 AS i, {strip('summary')} AS t FROM para UNION ALL SELECT page_id, i, {strip("regexp_extract(regexp_replace(text, ' +', ' ', 'g'), '(?s)^(.{0,1000})(?: |$)', 1)")} FROM sections WHERE i % 4 NOT IN (1, 2)),
+      k AS (SELECT * FROM c WHERE t <> '' AND NOT EXISTS (SELECT 1 FROM c e WHERE e.page_id = c.page_id AND e.i < c.i AND contains(e.t, c.t)))
+      SELECT p.page_id, coalesce(string_agg(t, '|' ORDER BY i), '') AS chunks FROM para p LEFT JOIN k ON p.page_id = k.page_id GROUP BY p.page_id"""
     q["kb_title_relevance"] = f"WITH {_CHECKED} SELECT term, ord, title FROM checked WHERE lower(trim(response)) = 'yes'"
     q["kb_ambiguity"] = f"WITH {_CHECKED} SELECT term, ord, title FROM checked WHERE status = 'ok' AND term NOT IN (SELECT term FROM checked WHERE ord = 0 AND status = 'disambiguation')"
     q["kb_ambiguous_terms"] = f"WITH {_CHECKED} SELECT term, bool_or(ord = 0 AND status = 'disambiguation') AS is_ambiguous FROM checked GROUP BY term"
@@ -262,6 +303,9 @@ def oracle_sql() -> dict[str, str]:
     q["expand_gate"] = f"WITH {_DOCTERMS} SELECT name FROM docterms WHERE fact_checked = 'Yes'"
     q["expand_frontier"] = f"WITH {_DOCTERMS} SELECT name FROM docterms WHERE fact_checked = 'Yes' AND doc_id % 6 NOT IN (0, 1) AND description <> ''"
     q["expand_branch_cap"] = _trip("SELECT doc_id, pos, head, relation, tail FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 3", cleaned)
+    q["expand_depth1"] = _grown(1, True, "SELECT name, description, fact_checked FROM terms1")
+    q["expand_depth2"] = _grown(2, True, "SELECT name, description, fact_checked FROM terms2")
+    q["kg_from_conversations"] = _grown(2, False, "SELECT src, rel, dst FROM edges")
     q["seed_responses"] = rf"""WITH {_SEEDS} SELECT ord, {strip(r"regexp_replace(prompt, '\s+', ' ', 'g')")} AS prompt, CASE WHEN ord % 3 = 0 THEN '{FAILED}' ELSE response END AS response FROM seeds"""
     path = "n0 || ' > ' || n1 || ' > ' || n2 AS path"
     q["qa_prompts"] = f"""WITH {_STAR}, {_TRADE} SELECT {path}, 'Write one question whose answer needs every step of the path, and answer it.' || chr(10) || 'Keep to the topic: trade.' || chr(10) || {_ENDS}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.qa import forward_prompt, keyed_option, options, parse_mcq, parse_open, reverse_prompt, validation_prompt
+from tessera.lineage import cut
 from tessera.operators import validate
 from tessera.operators.graph import KnowledgeGraph
 from tessera.operators.paths import find_paths, with_details
@@ -38,7 +39,7 @@ def _id(kind: str) -> Column:
 def forward(paths: DataFrame, model: Model, topic: str | None = None) -> DataFrame:
     """Open pairs of ``paths(nodes, rels, complexity)`` with details."""
     asked = paths.withColumn("prompt", forward_prompt(F.col("nodes"), F.col("rels"), F.lit(topic)))
-    qa = model(asked).withColumn("p", parse_open(F.col("response"))).where("p is not null")
+    qa = cut(model(asked)).withColumn("p", parse_open(F.col("response"))).where("p is not null")
     return qa.select(
         _id(FORWARD).alias("id"), "p.question", "p.answer", F.lit(None).cast("map<string,string>").alias("options"),
         F.lit(None).cast("string").alias("correct_answer_key"), F.lit(FORWARD).alias("source_type"), "complexity", _details().alias("source_details"),
@@ -48,7 +49,7 @@ def forward(paths: DataFrame, model: Model, topic: str | None = None) -> DataFra
 def reverse(paths: DataFrame, model: Model, topic: str | None = None) -> DataFrame:
     """Multiple-choice pairs whose keyed option is the path's first term."""
     asked = paths.withColumn("prompt", reverse_prompt(F.col("nodes"), F.col("rels"), F.lit(topic)))
-    qa = model(asked).withColumn("p", parse_mcq(F.col("response"))).where("p is not null")
+    qa = cut(model(asked)).withColumn("p", parse_mcq(F.col("response"))).where("p is not null")
     right = qa.where(F.lower(keyed_option(F.col("p"))) == F.lower(F.get("nodes", F.lit(0))["name"]))
     return right.select(
         _id(REVERSE).alias("id"), "p.question", F.lit(None).cast("string").alias("answer"), options(F.col("p")).alias("options"),
@@ -72,12 +73,13 @@ def generate(
 ) -> DataFrame:
     """Pairs from the graph's paths, validated unless told otherwise.
 
-    Pairs outside the sample are kept without validation.
+    Pairs outside the sample are kept without validation.  Paths and what the
+    models say are stored, so that each prompt is asked once.
     """
     paths = find_paths(graph.edges, max_complexity, exact_complexity, path_limit)
     if limit is not None and limit > 0:
         paths = paths.orderBy("nodes", "rels").limit(limit)
-    paths = with_details(paths, graph.terms)
+    paths = cut(with_details(paths, graph.terms))
     pairs = forward(paths, model, topic)
     if generate_reverse:
         pairs = pairs.unionByName(reverse(paths, model, topic))
@@ -90,5 +92,5 @@ def generate(
         "prompt",
         validation_prompt(F.col("question"), F.col("answer"), F.col("source_details.nodes"), F.col("source_details.relationships"), F.lit(topic)),
     )
-    passed = judge(asked).where(validate.accepted(F.col("response"), fail_open))
+    passed = cut(judge(asked)).where(validate.accepted(F.col("response"), fail_open))
     return passed.select(*pairs.columns).unionByName(split.where("not sampled").select(*pairs.columns))

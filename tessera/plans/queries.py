@@ -127,6 +127,7 @@ def paths_exact2(s, d):
 
 
 def paths_exact3(s, d):
+    """Support 3, as three hops at support 2 are millions of paths of this synthetic text."""
     return _flat_paths(find_paths(text_edges(s, d, 3), exact_length=3))
 
 
@@ -294,7 +295,7 @@ def kb_select_chunks(s, d):
 
 
 def kb_section_chunks(s, d):
-    firsts = F.transform(ch.body_sections(F.col("sections")), lambda x: x["text"])
+    firsts = ch.first_chunks(F.transform(ch.body_sections(F.col("sections")), lambda x: x["text"]))
     return _pages(s, d).select("page_id", F.array_join(ch.section_chunks(F.col("summary"), firsts), "|").alias("chunks"))
 
 

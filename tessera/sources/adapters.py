@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import sentences
@@ -89,15 +89,14 @@ def document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(ord, prompt, response)``: user turns with the assistant's next turn."""
+    """``(ord, prompt, response)``: user turns with the assistant's next turn.
+
+    An equi-join on the next turn's number, so that a very long conversation isn't sorted in one task.
+    """
     turns = table(spark, sf_dir, "conversations")
-    following = Window.partitionBy("conv_id").orderBy("turn")
-    return (
-        turns.withColumn("next_role", F.lead("role").over(following))
-        .withColumn("response", F.lead("text").over(following))
-        .where("role = 'user' and next_role = 'assistant'")
-        .select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.col("text").alias("prompt"), "response")
-    )
+    asked = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("prompt"))
+    said = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
+    return asked.join(said, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), "prompt", "response")
 
 
 def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

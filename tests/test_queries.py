@@ -92,11 +92,23 @@ def test_graph_from_conversations(spark, sf):
 
 
 def test_chunks_cover_documents(spark, sf):
-    rows = QUERIES["chunk_documents"](spark, sf).collect()
-    assert rows and max(len(r["chunk"]) for r in rows) <= 1000
+    """Chunks of a document hold all its words in order, within the size, and begin in the one before or after it."""
+    got = {}
+    for r in QUERIES["chunk_documents"](spark, sf).orderBy("doc_id", "pos").collect():
+        got.setdefault(r["doc_id"], []).append(r["chunk"])
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        text, at, reach = r["text"].split(), 0, 0
+        for chunk in got[r["doc_id"]]:
+            assert len(chunk) <= 1000
+            own = chunk.split()
+            starts = [k for k in range(at, reach + 1) if text[k : k + len(own)] == own]
+            assert starts, chunk[:50]
+            at, reach = starts[-1], max(reach, starts[-1] + len(own))
+        assert reach == len(text)
 
 
 def test_section_chunks(spark, sf):
+    from tessera.functions.chunks import split_text
     from tessera.sources.adapters import page_rows
 
     want = {}
@@ -105,7 +117,7 @@ def test_section_chunks(spark, sf):
         for x in p["sections"]:
             if x["title"].strip().lower() in ("references", "see also"):
                 continue
-            c = x["text"].strip()[:1000]
+            c = next(iter(split_text(x["text"])), "")
             if c and not any(c in k for k in kept):
                 kept.append(c)
         want[p["page_id"]] = "|".join(kept)

@@ -248,3 +248,159 @@ def catalogue_names():
     from tessera import catalogue
 
     return catalogue.queries()
+
+
+class _Counting:
+    """A model whose calls are counted over all tasks, by lines of a file."""
+
+    def __init__(self, path, reply):
+        self.path, self.reply = path, reply
+
+    def __call__(self, df):
+        path, reply, at = self.path, self.reply, df.columns.index("prompt")
+        from pyspark.sql import types as T
+
+        def run(batches):
+            import os
+
+            import pyarrow as pa
+
+            for b in batches:
+                prompts = b.column(at).to_pylist()
+                fd = os.open(path, os.O_APPEND | os.O_CREAT | os.O_WRONLY)
+                os.write(fd, "".join(repr(p) + "\n" for p in prompts).encode())
+                os.close(fd)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([reply(p) for p in prompts], pa.string())], names=[*b.schema.names, "response"])
+
+        return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("response", T.StringType())]))
+
+    def calls(self):
+        with open(self.path) as f:
+            return f.read().splitlines()
+
+
+_FACTS = 'List the facts of this text as JSON: {"triplets": [{"head": "", "relation": "", "tail": ""}]}. Text: '
+
+
+def _reply(prompt):
+    if prompt.startswith("List the facts"):
+        text = prompt.split("Text: ", 1)[1]
+        if text.startswith("Silent") and "whole" not in text:
+            return "nothing"
+        words = text.split()
+        return f'{{"triplets": [{{"head": "{words[0]}", "relation": "{words[1]}", "tail": "{words[-1]}"}}, {{"head": null}}]}}'
+    if prompt.startswith("Describe"):
+        return "" if "'blank'" in prompt else "Same words." if "'twin" in prompt else f"About {prompt.split(chr(39))[1]} here."
+    if prompt.startswith("Is the page"):
+        return "yes"
+    if prompt.startswith("Does the text say"):
+        return "Yes." if "'bays'" in prompt else "no"
+    if prompt.startswith("Which passage"):
+        return "1"
+    if prompt.startswith("Write one question"):
+        return "Question: What follows from this path here?\nAnswer: that" if "four options" not in prompt else "Question: What leads there, please?\nA) a\nB) b\nC) c\nD) d\nCorrect Answer: A"
+    if prompt.startswith("Judge"):
+        return "Grammar Fluency: yes\nAnswerable From Source: YES\nEthics Privacy Safe: YES"
+    return "bridges span bays. twin1 holds twin2. blank is blank."
+
+
+def _pages(spark):
+    return spark.createDataFrame(
+        [("Bays", "ok", "Water by land.", []), ("Bridges", "ok", "They span.", [])],
+        "title string, status string, summary string, sections array<struct<title:string,text:string>>",
+    )
+
+
+@pytest.mark.parametrize("profile", ["CHAT", "SEQ2SEQ"])
+def test_each_prompt_is_asked_once(spark, tmp_path, profile):
+    from tessera import schema
+    from tessera.operators.graph import KnowledgeGraph
+    from tessera.plans.agents import checker, describer, extractor
+    from tessera.plans.session import Session
+    from tessera.sources.external import PageSource
+
+    p = getattr(schema, profile)
+
+    def reply(x):
+        said = x.removeprefix(_FACTS).split()
+        threes = [said[k : k + 3] for k in range(0, len(said) - 2, 3)]
+        if x.startswith(_FACTS):
+            return '{"triplets": [' + ", ".join(f'{{"head": "{h}", "relation": "{r}", "tail": "{t}"}}' for h, r, t in threes) + "]}"
+        if profile == "SEQ2SEQ" and (x in ("bridges span bays", "twin1 holds twin2", "blank is blank") or x.startswith("About ")):
+            return "".join(f"<triplet> {h} <subj> {t} <obj> {r} " for h, r, t in threes)
+        return _reply(x)
+
+    model = _Counting(str(tmp_path / "calls"), reply)
+    kg = KnowledgeGraph(spark.createDataFrame([], schema.TERMS), spark.createDataFrame([], schema.EDGES))
+    s = Session(kg, p, model, extractor(model, p), describer(PageSource(_pages(spark)), model), model, checker(model), topic="bay", max_depth=2)
+    answered = s.ask(spark.createDataFrame([(1, "what are bridges"), (2, "and what else")], "ord long, prompt string"))
+    assert answered.count() == 2 and s.graph.terms.count() > 3 and s.graph.edges.count() > 0
+    assert s.generate_qa(generate_reverse=True, validation_sample_rate=0.5).count() > 0
+    calls = model.calls()
+    # two seeds with equal answers ask for the same facts, once each; no other prompt comes twice
+    assert [x for x in sorted(set(calls)) if calls.count(x) > (2 if "bridges span bays" in x or "twin1 holds twin2" in x or "blank is blank" in x else 1)] == []
+    assert sum(x == "'what are bridges'" for x in calls) == 1
+    rels = {r["rel"] for r in s.graph.edges.collect()}
+    assert "SPAN" in rels and ("HOLDS" in rels) == (p is schema.CHAT)  # the second agent's check rejects the other triplet
+
+
+def test_extractor_asks_again_and_describer_shares_no_text(spark, tmp_path):
+    from tessera.operators.grow import expand
+    from tessera.operators.graph import KnowledgeGraph
+    from tessera.plans.agents import describer, extractor
+    from tessera.schema import CHAT, EDGES, NOT_AVAILABLE, TERMS
+    from tessera.sources.external import PageSource
+
+    model = _Counting(str(tmp_path / "calls"), _reply)
+    texts = spark.createDataFrame([("a", "Silent one. Two. Three. Four and the whole."), ("b", "One is two. x. y. Four is five."), ("c", "")], "key string, text string")
+    got = {(r["key"], r["pos"], r["head"], r["relation"], r["tail"]) for r in extractor(model, CHAT)(texts).collect()}
+    assert got == {("a", 1_000_000, "four", "and", "whole"), ("b", 0, "one", "is", "y"), ("b", 1_000_000, "four", "is", "five")}
+    only = spark.createDataFrame([("z", "Silent one. Two.")], "key string, text string")
+    assert extractor(model, CHAT)(only).count() == 0 and sum("Silent one. Two." in x for x in model.calls()) == 1
+    describe = describer(PageSource(_pages(spark)), model)
+    rows = {r["name"]: r for r in describe(spark.createDataFrame([("bays", None, "s"), ("blank", "p", "s"), ("twin1", None, None)], "name string, parent string, source string")).collect()}
+    assert rows["bays"]["grounded"] and not rows["twin1"]["grounded"] and rows["blank"]["description"] == NOT_AVAILABLE
+    level = spark.createDataFrame([("k", 0, "twin3", "twin1", "r", "twin2", "the text")], "key string, pos int, parent string, head string, relation string, tail string, source string")
+    kg = expand(KnowledgeGraph(spark.createDataFrame([], TERMS), spark.createDataFrame([], EDGES)), level, extractor(model, CHAT), describe, CHAT, 1)
+    # an identical description stays with its first term
+    assert {r["name"]: r["description"] for r in kg.terms.collect()} == {"twin1": "Same words.", "twin2": None}
+    assert any("Context: the text" in x and "twin2" in x for x in model.calls())
+
+
+def test_pdf_previews_are_shown_only_where_needed(spark, tmp_path):
+    from tessera.sources.external import PdfSource
+
+    model = _Counting(str(tmp_path / "calls"), _reply)
+    pdf = PdfSource(spark.createDataFrame([("The gate is red.\n\n" + "x" * 990 + "\n\nThe bay is blue.",)], "text string"))
+    got = {r["term"]: r["summary"] for r in pdf.lookup(spark.createDataFrame([("gate", ""), ("moon", "")], "term string, hint string"), model=model).collect()}
+    assert got["gate"].startswith("The gate") and got["moon"].startswith("x" * 50)
+    calls = model.calls()
+    assert len(calls) == 1 and "moon" in calls[0] and "[0] The gate" in calls[0]
+
+
+def test_title_check_shows_the_hint(spark, tmp_path):
+    from tessera.sources.external import PageSource
+
+    model = _Counting(str(tmp_path / "calls"), _reply)
+    PageSource(_pages(spark)).lookup(spark.createDataFrame([("bays", "harbours")], "term string, hint string"), model=model).count()
+    assert len(model.calls()) == 1 and "harbours" in model.calls()[0]
+
+
+def test_retries_and_errors(spark):
+    class Flaky(_Client):
+        def invoke(self, system, human):
+            self.calls += 1
+            if self.calls < 3:
+                raise ValueError("busy")
+            return human
+
+    assert Calls(pause=0)(Flaky(), "", "x") is None
+    assert Calls(pause=0, any_error=True)(Flaky(), "", "x") == "x"
+    df = spark.createDataFrame([("bad",), ("hi",)], "prompt string").coalesce(1)
+    rows = {r["prompt"]: (r["response"], r["why"]) for r in with_response(df, _Client, "", "prompt", Calls(pause=0), error="why").collect()}
+    assert rows["hi"] == ("HI", None) and rows["bad"][0] is None and rows["bad"][1].startswith("ValueError")
+
+
+def test_reads_with_parameters(spark):
+    kg = g.KnowledgeGraph(spark.createDataFrame([("a", "d", "Yes")], "name string, description string, fact_checked string"), spark.createDataFrame([("a", "R", "b"), ("b", "R", "c")], "src string, rel string, dst string"))
+    assert [tuple(r) for r in kg.sql("SELECT dst FROM {edges} JOIN {terms} ON src = name WHERE src = :term", {"term": "a"}).collect()] == [("b",)]
