@@ -125,5 +125,17 @@ def _licence_sql() -> str:
     """
 
 
+_EMBEDDING_SQL = """
+    WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+    r(node, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
+    c AS (SELECT node, min(root) AS root FROM r GROUP BY node),
+    n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+    SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, vec_id = coalesce(root, vec_id) AS kept
+    FROM embeddings LEFT JOIN c ON node = vec_id LEFT JOIN n ON a = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": _licence_sql()}
+    return {"op2_license_scan": _licence_sql(), "op4_embedding_dedup": _EMBEDDING_SQL}
