@@ -228,7 +228,8 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     order = F.struct(F.col("first_id").isNull().alias("last"), "first_id", "fp")
     best = labelled.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.first_id").alias("_kept_id"), F.col("x.fp").alias("_kept_fp"))
     at = docs.columns.index(text_col)
-    fresh = next(n for n in (f"_fp{k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+    taken = {n.lower() for n in docs.columns}
+    fresh, known, none = [next(n for n in (f"_{x}{k}" for k in range(len(docs.columns) + 1)) if n not in taken) for x in ("fp", "id", "none")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,6 +237,10 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
             yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, fresh])
 
     marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(fresh, T.LongType())]))
-    row_id = F.col(f"`{id_col}`").cast("long")
-    kept = marked.join(best.hint("shuffle_hash"), row_id.eqNullSafe(F.col("_kept_id")) & (F.col(fresh) == F.col("_kept_fp")), "left_semi")
-    return kept.dropDuplicates([id_col, fresh]).drop(fresh)
+    # the id is spelled out as two columns that are never null, so that one exchange of the texts serves the join and the repeated rows
+    spelled = lambda c: (F.coalesce(c, F.lit(0).cast("long")), c.isNull())
+    row, kept = spelled(F.col(f"`{id_col}`").cast("long")), spelled(F.col("_kept_id"))
+    marked = marked.withColumns({known: row[0], none: row[1]})
+    best = best.select(kept[0].alias(known), kept[1].alias(none), F.col("_kept_fp").alias(fresh))
+    found = marked.join(best.hint("shuffle_hash"), [known, none, fresh], "left_semi")
+    return found.dropDuplicates([id_col, known, none, fresh]).drop(fresh, known, none)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import xxhash
 
 from tessera.llm import decontam, embeddings, langid, licences, mixing, pii, secrets, simhash, suffix, tokens
 from tessera.llm import queries as q
-from tessera.llm.common import components, ship
+from tessera.llm.common import components, cut, ship
 from tests.oracle import compare, connect
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -99,6 +100,26 @@ def test_survivors_lose_no_text(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in simhash.survivors(d).collect()) == [(0, "q r s t u v"), (1, "a b c d"), (2, "zz yy xx ww vv")]
 
 
+def test_survivors_shuffle_texts_once(spark):
+    d = spark.createDataFrame([(i % 7, f"a b c {i % 5}") for i in range(40)], "doc_id long, text string")
+    plan = simhash.survivors(d)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3  # classes by root, then their rows and the texts for the join
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    def files():
+        return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+
+    before = files()
+    got = cut(spark.range(1000).selectExpr("id % 10 AS k").groupBy("k").count())
+    for _ in range(50):  # they are removed in the background
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    assert got.count() == got.where("count = 100").count() == 10
+
+
 def closure(n, edges):
     root = list(range(n))
 
