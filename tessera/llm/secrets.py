@@ -8,7 +8,7 @@ A run of an encoding's characters is tested for randomness: chi-squared tests of
 the alphabet and of its classes (vowels, consonants, digits by case: the test
 with power in short runs), a runs test and a serial correlation.  What passes may still be
 natural, the more so the shorter it is.  So each encoding and band of lengths has
-a null sample of natural strings, *decoys*, and asks of how many of the accepted
+natural strings made of all the words of all texts, *decoys*, and asks of how many of the accepted
 runs these would account for: see :func:`accepted_bands`.
 """
 
@@ -40,6 +40,8 @@ _CLASSES = {
 }
 #: Least p-values that a band may ask of its runs.
 _LEVELS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.4)
+#: Words that are spelled in one way: enough for a string of the longest band.
+_SLICE = 32
 
 
 def _spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0) -> Column:
@@ -97,15 +99,21 @@ def _pieces(text: Column) -> Column:
     return F.regexp_extract_all(F.array_join(F.sort_array(F.split(text, "")), ""), F.lit(r"(.)\1*"), F.lit(0))
 
 
-def _p_frequencies(spelled: Column, encoding: str) -> Column:
-    """The lesser p-value of the frequencies of characters and of their classes in a string of the encoding."""
+def _p_classes(spelled: Column, encoding: str) -> Column:
+    """The p-value of the frequencies of character classes in a string of the encoding."""
     size, classes, n = len(_ENCODINGS[encoding]), _CLASSES[encoding], F.length(spelled).cast("double")
     squared = lambda x: F.pow(F.length(x).cast("double"), F.lit(2))
-    single = _total(F.transform(_pieces(spelled), squared)) * size / n - n
     marks = F.translate(spelled, "".join(classes), "".join(str(k) * len(c) for k, c in enumerate(classes)))
     weights = F.array(*[F.lit(size / len(c)) for c in classes])
     grouped = _total(F.transform(_pieces(marks), lambda x: squared(x) * F.get(weights, F.ascii(x) - ord("0")))) / n - n
-    return F.least(_chi_squared(single, size - 1), _chi_squared(grouped, len(classes) - 1))
+    return _chi_squared(grouped, len(classes) - 1)
+
+
+def _p_characters(spelled: Column, encoding: str) -> Column:
+    """The p-value of the frequencies of characters in a string of the encoding."""
+    size, n = len(_ENCODINGS[encoding]), F.length(spelled).cast("double")
+    single = _total(F.transform(_pieces(spelled), lambda x: F.pow(F.length(x).cast("double"), F.lit(2)))) * size / n - n
+    return _chi_squared(single, size - 1)
 
 
 def _p_order(spelled: Column, encoding: str) -> Column:
@@ -159,16 +167,24 @@ def _band(core: Column) -> Column:
     return band
 
 
-def _bonferroni(encoding: str) -> Callable[[Column], Column]:
-    return lambda x: F.least(F.lit(1.0), 4 * F.least(_p_frequencies(x, encoding), _p_order(x, encoding)))
+def _bonferroni(encoding: str, alpha: float) -> Callable[[Column], Column]:
+    """Four times the least p-value of the tests, or of those up to the first below ``alpha``: no level is less, so the others can't matter."""
+    tests = (_p_classes, _p_characters, _p_order)
+
+    def from_(k: int, x: Column, p: Column) -> Column:
+        if k == len(tests):
+            return p
+        return F.when(p < alpha, p).otherwise(let(F.least(p, 4 * tests[k](x, encoding)), lambda q: from_(k + 1, x, q)))
+
+    return lambda x: from_(0, x, F.lit(1.0))
 
 
-def _p(core: Column, encoding: Column) -> Column:
-    """Bonferroni's p-value of the four tests of a run's encoding."""
+def _p(core: Column, encoding: Column, alpha: float) -> Column:
+    """Bonferroni's p-value of the four tests of a run's encoding, exact from ``alpha`` on."""
     p = None
     for name in _ENCODINGS:
         spelled = F.lower(core) if name == "hex" else core
-        value = let(spelled, _bonferroni(name))
+        value = let(spelled, _bonferroni(name, alpha))
         p = F.when(encoding == name, value) if p is None else p.when(encoding == name, value)
     return p
 
@@ -178,33 +194,35 @@ def _word(core: Column) -> Column:
     return core.rlike("^[A-Za-z][a-z+/]*$")
 
 
-def _tested(m: Column) -> Column:
+def _tested(m: Column, alpha: float) -> Column:
     """A run with its encoding, length band, p-value and whether it reads like a word."""
     return let(
         _core(m["hit"]),
         lambda core: let(
             _encoding(core),
-            lambda e: F.struct(m["s"].alias("s"), m["k"].alias("k"), m["e"].alias("e"), e.alias("encoding"), _band(core).alias("band"), _p(core, e).alias("p"), _word(core).alias("word")),
+            lambda e: F.struct(m["s"].alias("s"), m["k"].alias("k"), m["e"].alias("e"), e.alias("encoding"), _band(core).alias("band"), _p(core, e, alpha).alias("p"), _word(core).alias("word")),
         ),
     )
 
 
-def _runs(text: Column) -> Column:
-    return F.transform(_spans(text, RUN, "random"), _tested)
+def _runs(text: Column, alpha: float) -> Column:
+    return F.transform(_spans(text, RUN, "random"), lambda m: _tested(m, alpha))
 
 
-def _decoys(texts: DataFrame) -> DataFrame:
-    """``(encoding, band, p, word)`` of one natural string for each of ``texts(text)`` that has enough words.
+def _natural(texts: DataFrame) -> DataFrame:
+    """``(encoding, core)`` of the natural strings that all words of ``texts(text)`` make, each word once.
 
-    Hashes of the text choose its kind, its length and the place of its words:
-    an identifier in camel case, one with numbers between or a path (base64),
-    capitals (base32), or the words' hexadecimal bytes.
+    Words are those outside the runs.  Each slice of a text's words is spelled in
+    one way: an identifier in camel case, one with numbers between or a path
+    (base64), capitals (base32), or the words' hexadecimal bytes; and cut into
+    strings of one length, its end into a shorter one.  Hashes of the slice
+    choose the way and the length.  No run is as short as the ends left out.
     """
-    bits = F.xxhash64("text")
+    bits = F.xxhash64("w")
     pick = lambda shift, n: F.pmod(F.shiftright(bits, shift), n.cast("long") if isinstance(n, Column) else F.lit(n)).cast("int")
     low, high = F.array(*[F.lit(b) for b in _BANDS]), F.array(*[F.lit(b) for b in (*_BANDS[1:], 2 * _BANDS[-1])])
-    w, kind = F.col("w"), F.col("kind")
-    titled = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 99)))
+    w, kind, core, size = F.col("w"), F.col("kind"), F.col("core"), F.col("size")
+    titled = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, F.lit(2), F.length(x))))
     made = (
         F.when(kind == 0, F.array_join(F.transform(w, lambda x, i: F.when(i == 0, F.lower(x)).otherwise(titled(x))), ""))
         .when(kind == 1, F.array_join(F.transform(w, lambda x, i: F.concat(titled(x), F.pmod(F.xxhash64(x, i), F.lit(100)).cast("string"))), ""))
@@ -212,26 +230,30 @@ def _decoys(texts: DataFrame) -> DataFrame:
         .when(kind == 3, F.upper(F.array_join(w, "")))
         .otherwise(F.lower(F.hex(F.array_join(w, " "))))
     )
-    place = pick(0, F.greatest(F.lit(1), F.length("text") - 900)) + 1
+    words = F.regexp_extract_all(F.regexp_replace("text", RUN, " "), F.lit("[A-Za-z]{2,}"), F.lit(0))
+    slices = let(words, lambda x: F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(1), F.size(x), F.lit(_SLICE)), lambda at: F.slice(x, at, F.lit(_SLICE)))))
     band = pick(40, len(_BANDS))
+    pieces = F.transform(F.sequence(F.lit(1), F.length(core), size), lambda at: F.substring(core, at, size))
     return (
-        texts.select(
-            F.regexp_extract_all(F.substring("text", place, F.lit(900)), F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("w"),
-            pick(52, 5).alias("kind"),
-            (F.get(low, band) + pick(20, F.get(high, band) - F.get(low, band))).alias("size"),
-        )
+        texts.select(F.explode(slices).alias("w"))
+        .select("w", pick(52, 5).alias("kind"), (F.get(low, band) + pick(20, F.get(high, band) - F.get(low, band))).alias("size"))
         .select(made.alias("core"), "size", F.when(kind <= 2, "base64").when(kind == 3, "base32").otherwise("hex").alias("encoding"))
-        .where(F.length("core") >= F.col("size"))
-        .select("encoding", F.substring("core", F.lit(1), F.col("size")).alias("core"))
-        .select("encoding", _band(F.col("core")).alias("band"), _p(F.col("core"), F.col("encoding")).alias("p"), F.lit(True).alias("word"))
+        .select("encoding", F.explode(pieces).alias("core"))
+        .where(F.length("core") >= _BANDS[0])
     )
 
 
+def _decoys(texts: DataFrame, alpha: float) -> DataFrame:
+    """``(encoding, band, p, word)`` of all natural strings of ``texts(text)``."""
+    core = F.col("core")
+    return _natural(texts).select("encoding", _band(core).alias("band"), _p(core, F.col("encoding"), alpha).alias("p"), F.lit(True).alias("word"))
+
+
 def accepted_bands(docs: DataFrame, alpha: float = 0.01, rate: float = 0.05, least: int = 40, text_col: str = "text") -> list[tuple[str, int, float]]:
     """Encodings and length bands with the p-value that a run must reach there to be reported.
 
-    Decoys are the runs that read like words, and natural strings made of each
-    document's own words.  Among them, the share ``(f + 1) / (d + 1)`` that reaches a level is
+    Decoys are the runs that read like words, and natural strings made of every
+    word of the documents.  Among them, the share ``(f + 1) / (d + 1)`` that reaches a level is
     the p-value of "this run is natural" at that level.  A band takes the
     lowest level, ``alpha`` or more, at which this share of all *tested* runs is
     at most ``rate`` times the runs found: the step-up rule of Benjamini and Hochberg
@@ -240,8 +262,8 @@ def accepted_bands(docs: DataFrame, alpha: float = 0.01, rate: float = 0.05, lea
     level serves, nothing in it is reported.  At most 48 rows reach the driver.
     """
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = texts.select(F.explode_outer(_runs(F.col("text"))).alias("r")).where("r is not null").select("r.encoding", "r.band", "r.p", "r.word")
-    runs = found.union(_decoys(texts))
+    found = texts.select(F.explode_outer(_runs(F.col("text"), alpha)).alias("r")).where("r is not null").select("r.encoding", "r.band", "r.p", "r.word")
+    runs = found.union(_decoys(texts, alpha))
     levels = [x for x in (alpha, *_LEVELS) if x >= alpha]
     counts = runs.groupBy("encoding", "band", "word").agg(F.count("*").alias("n"), *[F.count_if(F.col("p") >= x).alias(f"n{k}") for k, x in enumerate(levels)])
     got = {(r["encoding"], r["band"], r["word"]): [r["n"], *[r[f"n{k}"] for k in range(len(levels))]] for r in counts.collect()}
@@ -275,7 +297,7 @@ def scan(docs: DataFrame, alpha: float = 0.01, rate: float = 0.05, id_col: str =
         _spans(text, ASSIGN, "assign", 2, 8).alias("assign"),
         _spans(text, ACCESS, "access").alias("access"),
         _spans(text, HEX, "hex").alias("hex"),
-        _runs(text).alias("runs") if bands else F.array().cast("array<struct<s:int,k:int,e:int,encoding:string,band:int,p:double,word:boolean>>").alias("runs"),
+        _runs(text, alpha).alias("runs") if bands else F.array().cast("array<struct<s:int,k:int,e:int,encoding:string,band:int,p:double,word:boolean>>").alias("runs"),
     )
     short = lambda c: F.transform(c, lambda m: F.struct(m["s"].alias("s"), m["k"].alias("k"), m["e"].alias("e")))
     known = F.array_sort(F.concat(short(F.col("assign")), short(F.col("access")), short(F.col("hex"))))

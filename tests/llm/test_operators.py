@@ -448,6 +448,20 @@ def test_secrets_reject_natural_runs(spark, sf):
     assert power[40] > 0.85 and power[48] > 0.9 and power[64] > 0.9 and power[32] > 0.6
 
 
+def test_secrets_decoys_use_every_word(spark):
+    rng = random.Random(8)
+    pool = ["".join(rng.choices("etaoinshrdlu", k=n)) for n in (2, 3, 4, 5, 6, 7, 8, 9, 12) for _ in range(30)]
+    words = rng.choices(pool, k=6000)
+    long = " ".join(words)
+    got = secrets._natural(docs(spark, [long + " " + "aB3" * 20, None, "", "x 12"]).select("text")).collect()
+    letters = sum(len(c) / 2 if e == "hex" else len(re.sub("[^A-Za-z]", "", c)) for e, c in got)  # hexadecimal has the spaces too
+    assert all(secrets._BANDS[0] <= len(c) < 2 * secrets._BANDS[-1] for _, c in got)
+    assert 0.9 < letters / sum(map(len, words)) < 1.05  # ends below 20 characters are left out
+    keys = ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=64)) for _ in range(40)]
+    one = secrets.scan(docs(spark, [" ".join([long, *keys])])).first()
+    assert one["n_random"] >= 34  # one document's words are evidence enough
+
+
 def test_tokens_equal_the_library(spark, sf):
     from hypothesis import example, given, settings
     from hypothesis import strategies as st
