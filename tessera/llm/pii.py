@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut
 
 KINDS = ("email", "ip", "iban", "phone", "ssn", "number", "name")
+_SPELLED = pa.list_(pa.struct([("kind", pa.string()), ("surrogate", pa.string())]))
 
 _EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
 _IP = re.compile(r"(?<![\w.])(?:(?:0|[1-9]\d{0,2})\.){3}(?:0|[1-9]\d{0,2})(?!\w|\.\d)")
@@ -294,10 +295,10 @@ def report(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "t
     ``n_collisions`` counts a row's entities whose surrogate another entity of the
     corpus has, written in any way: 0 unless a permutation isn't one-to-one.
     Nulls, empty texts and repeated rows keep their rows; an empty table gives
-    none; other columns are not read.
+    none; other columns are not read.  Only where there are collisions do texts
+    go through a join of their entities with all of them.
     """
-    secret = key.encode()
-    shared = {(r["kind"], r["surrogate"]) for r in _checked(docs, key, text_col).limit(10_000).collect()}
+    secret, clashes = key.encode(), _checked(docs, key, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,14 +309,21 @@ def report(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "t
                     pa.array([d[0] for d in done], pa.string()),
                     pa.array([len(d[1]) for d in done], pa.int64()),
                     pa.array([",".join(f"{k}:{s}" for k, _, s in d[1]) for d in done], pa.string()),
-                    pa.array([sum((k, spelling(k, s)) in shared for k, _, s in d[1]) for d in done], pa.int64()),
+                    pa.array([[{"kind": k, "surrogate": spelling(k, s)} for k, _, s in d[1]] for d in done] if clash else [None] * len(done), _SPELLED),
                 ],
-                names=["doc_id", "text", "n_entities", "entities", "n_collisions"],
+                names=["doc_id", "text", "n_entities", "entities", "spelled"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, text string, n_entities long, entities string, n_collisions long"
+    clash = not clashes.isEmpty()
+    new = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+        run, "doc_id long, text string, n_entities long, entities string, spelled array<struct<kind:string,surrogate:string>>"
     )
+    if not clash:
+        return new.drop("spelled").withColumn("n_collisions", F.lit(0).cast("long"))
+    # however many there are, they stay on the executors: rows are numbered once, as ids may repeat
+    rows = cut(new.withColumn("row", F.monotonically_increasing_id()))
+    counts = rows.select("row", F.explode("spelled").alias("x")).select("row", "x.kind", "x.surrogate").join(clashes, ["kind", "surrogate"]).groupBy("row").agg(F.count("*").alias("n"))
+    return rows.join(counts, "row", "left").select("doc_id", "text", "n_entities", "entities", F.coalesce("n", F.lit(0).cast("long")).alias("n_collisions"))
 
 
 def collisions(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:

@@ -742,6 +742,15 @@ def test_pii_in_texts(spark, sf):
     assert pii.collisions(spark.read.parquet(f"{sf}/documents.parquet"), "k").count() == 0
 
 
+def test_pii_counts_every_collision(spark, monkeypatch):
+    n = 10_500
+    d = docs(spark, [f"mail a{i}@x.example.com" for i in range(n)] + ["none", None, "a0@x.example.com, a1@x.example.com A1@x.example.com"])
+    known = spark.createDataFrame([("email", pii.surrogate("email", f"a{i}@x.example.com", KEY), 2) for i in range(n)], "kind string, surrogate string, n_values long")
+    monkeypatch.setattr(pii, "collisions", lambda *_: known)  # the permutations have none
+    got = {r["doc_id"]: r["n_collisions"] for r in pii.report(d, KEY.decode()).collect()}
+    assert [got[i] for i in range(n)] == [1] * n and (got[n], got[n + 1], got[n + 2]) == (0, 0, 3)
+
+
 def test_pipeline_equals_its_stages(spark, sf):
     import corpus_pipeline as p
 
