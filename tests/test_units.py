@@ -81,6 +81,33 @@ def test_paths_use_edges_once(spark):
     assert find_paths(e, 0).count() == 0
 
 
+def test_paths_of_a_hub_are_dealt_out(spark):
+    n = 2100
+    e = spark.range(n).select(F.concat(F.lit("i"), "id").alias("src"), F.lit("r").alias("rel"), F.lit("hub").alias("dst"))
+    e = e.union(spark.range(n).select(F.lit("hub"), F.lit("r"), F.concat(F.lit("o"), "id")))
+    rows = find_paths(e, exact_length=2).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in rows) == n * n
+    assert max(r["count"] for r in rows) < n * n / 2
+
+
+@pytest.mark.parametrize("side", [1, 2, 1024])
+def test_paths_do_not_depend_on_cells(spark, monkeypatch, side):
+    from tessera.operators import paths
+
+    monkeypatch.setattr(paths, "SIDE", side)
+    pairs = [(a, r, b) for a in "abcd" for b in "abcd" for r in "xy" if (a, r, b) != ("a", "y", "a")]
+    e = spark.createDataFrame(pairs, "src string, rel string, dst string")
+    want = []
+    level = [[x] for x in pairs]
+    for _ in range(3):
+        want += [(tuple([p[0][0], *[x[2] for x in p]]), tuple(x[1] for x in p)) for p in level if p[0][0] != p[-1][2]]
+        level = [[*p, x] for p in level for x in pairs if x[0] == p[-1][2] and x not in p]
+    got = [(tuple(r["nodes"]), tuple(r["rels"])) for r in find_paths(e, 3).collect()]
+    assert sorted(got) == sorted(want)
+    for limit in (0, 1, 50, 700, len(want) + 1):
+        assert [(tuple(r["nodes"]), tuple(r["rels"])) for r in find_paths(e, 3, limit=limit).collect()] == sorted(want)[:limit]
+
+
 def test_prune(spark):
     t = spark.createDataFrame([(f"{f}{d}", d, f) for f in ("Yes", "No", None) for d in ("x", None)], "name string, description string, fact_checked string")
     kg = g.KnowledgeGraph(t, None)
