@@ -108,6 +108,16 @@ def test_paths_do_not_depend_on_cells(spark, monkeypatch, side):
         assert [(tuple(r["nodes"]), tuple(r["rels"])) for r in find_paths(e, 3, limit=limit).collect()] == sorted(want)[:limit]
 
 
+def test_limited_search_leaves_out_later_paths(spark, monkeypatch):
+    from tessera.operators import paths
+
+    grown, hop = [], paths._hop
+    monkeypatch.setattr(paths, "_hop", lambda level, *rest: grown.append(level.count()) or hop(level, *rest))
+    e = spark.range(1000).select(F.format_string("n%03d", "id").alias("src"), F.lit("r").alias("rel"), F.format_string("n%03d", (F.col("id") + 1) % 1000).alias("dst"))
+    assert [r["nodes"][0] for r in find_paths(e, 2, limit=10).collect()] == [f"n{i:03d}" for i in range(5) for _ in range(2)]
+    assert grown == [10]
+
+
 def test_prune(spark):
     t = spark.createDataFrame([(f"{f}{d}", d, f) for f in ("Yes", "No", None) for d in ("x", None)], "name string, description string, fact_checked string")
     kg = g.KnowledgeGraph(t, None)
