@@ -118,6 +118,46 @@ def test_limited_search_leaves_out_later_paths(spark, monkeypatch):
     assert grown == [10]
 
 
+@pytest.mark.parametrize("block", [2, 512])
+def test_search_in_blocks(spark, monkeypatch, block):
+    import re
+    from collections import Counter
+
+    monkeypatch.setattr(kb, "BLOCK", block)
+    titles = [f"The of {a} {b}" for a in "uvw" for b in ("", "x", "y x", "of z")] + ["the", "of", "The OF", "", "!"]
+    words = {x: set(re.findall(r"\w+", x.lower())) for x in titles}
+    df = Counter(w for ws in words.values() for w in ws)
+    want = set()
+    for term in {x.lower() for x in titles}:
+        own = set(re.findall(r"\w+", term))
+        keys = set(sorted(own, key=lambda w: (df[w], w))[:3])
+        near = sorted((-len(own & ws), x) for x, ws in words.items() if keys & ws)[:5]
+        want |= {(term, n, x, -s) for n, (s, x) in enumerate(near)}
+    pages = spark.createDataFrame([(x,) for x in titles], "title string")
+    found = kb.search(pages.select(F.lower("title").alias("term")), pages, 5)
+    assert {tuple(r) for r in found.collect()} == want
+
+
+def test_search_makes_no_row_a_pair(spark):
+    """600 titles share a word: the ranking gets some rows a term, not one a pair."""
+    pages = spark.range(600).select(F.concat(F.lit("same t"), "id").alias("title"))
+    found = kb.search(pages.select(F.col("title").alias("term")), pages, 5)
+    found.collect()
+    rows, node = [], found._jdf.queryExecution().executedPlan()
+    stack = [node]
+    while stack:
+        x = stack.pop()
+        if x.nodeName() == "AdaptiveSparkPlan":
+            stack.append(x.executedPlan())
+            continue
+        if x.nodeName().endswith("QueryStage"):
+            stack.append(x.plan())
+        if x.metrics().contains("numOutputRows"):
+            rows.append(x.metrics().apply("numOutputRows").value())
+        stack += [x.children().apply(i) for i in range(x.children().size())]
+    assert max(rows) < 600 * 600 / 10
+
+
 def test_prune(spark):
     t = spark.createDataFrame([(f"{f}{d}", d, f) for f in ("Yes", "No", None) for d in ("x", None)], "name string, description string, fact_checked string")
     kg = g.KnowledgeGraph(t, None)
