@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import contains_ci, let, relation_key, strip, term_clean, term_key
+from tessera.functions.text import contains_ci, let, not_blank, relation_key, strip, term_clean, term_key
 from tessera.schema import TRIPLET
 
 _NONE = f"cast(array() as array<{TRIPLET}>)"
@@ -23,8 +23,7 @@ def _elements(response: Column) -> Column:
 
 def _field(v: Column, key: str) -> Column:
     """A field that is a string; null if it is missing or of another kind."""
-    raw = F.try_variant_get(v, f"$.{key}", "variant")
-    return F.when(F.schema_of_variant(raw) == "STRING", F.try_variant_get(v, f"$.{key}", "string"))
+    return let(F.try_variant_get(v, f"$.{key}", "variant"), lambda raw: F.when(F.schema_of_variant(raw) == "STRING", F.try_variant_get(raw, "$", "string")))
 
 
 def _as_triplet(v: Column) -> Column:
@@ -35,7 +34,7 @@ def is_well_formed(t: Column) -> Column:
     """All three fields are strings and not blank."""
     ok = F.lit(True)
     for k in ("head", "relation", "tail"):
-        ok = ok & F.coalesce(strip(t[k]) != "", F.lit(False))
+        ok = ok & F.coalesce(not_blank(t[k]), F.lit(False))
     return ok
 
 
@@ -46,11 +45,12 @@ def json_triplets(response: Column) -> Column:
 
 def json_counts(response: Column) -> Column:
     """``(usable, malformed)`` elements of a JSON response; null if it isn't one."""
-    flags = F.transform(F.transform(_elements(response), _as_triplet), is_well_formed)
-    return F.when(
-        flags.isNotNull(),
-        F.struct(F.size(F.filter(flags, lambda f: f)).alias("usable"), F.size(F.filter(flags, lambda f: ~f)).alias("malformed")),
-    )
+
+    def counted(flags: Column) -> Column:
+        usable = F.size(F.filter(flags, lambda f: f))
+        return F.when(flags.isNotNull(), F.struct(usable.alias("usable"), (F.size(flags) - usable).alias("malformed")))
+
+    return let(F.transform(_elements(response), lambda v: is_well_formed(_as_triplet(v))), counted)
 
 
 def regex_triplets(response: Column) -> Column:
@@ -62,8 +62,8 @@ def regex_triplets(response: Column) -> Column:
 
 def response_triplets(response: Column) -> Column:
     """JSON if it has a well-formed triplet, else the pattern over the whole response."""
-    found = json_triplets(response)
-    return F.coalesce(F.when(F.size(found) > 0, found).otherwise(regex_triplets(response)), F.expr(_NONE))
+    either = let(json_triplets(response), lambda found: F.when(F.size(found) > 0, found).otherwise(regex_triplets(response)))
+    return F.coalesce(either, F.expr(_NONE))
 
 
 def marker_triplets(response: Column) -> Column:

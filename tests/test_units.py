@@ -118,6 +118,28 @@ def test_limited_search_leaves_out_later_paths(spark, monkeypatch):
     assert grown == [10]
 
 
+@pytest.mark.parametrize("name", ["triplet_json_parse", "triplet_malformed_counts", "triplet_well_formed"])
+def test_responses_are_made_and_parsed_once(spark, sf, name):
+    from tessera.plans import queries
+
+    plan = getattr(queries, name)(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
+    assert plan.count("[\\p{L}\\p{N}]+") == 1
+
+
+@pytest.mark.parametrize("raw", ["", " ", "\t\n\u00a0\u001c\u3000", " x ", "\u001cx", None])
+def test_not_blank_is_a_strip_that_leaves_something(spark, raw):
+    row = spark.createDataFrame([(raw,)], "a string").select(tx.not_blank(F.col("a")).alias("x"), (tx.strip(F.col("a")) != "").alias("y")).first()
+    assert row["x"] == row["y"]
+
+
+def test_json_counts(spark):
+    good, bad = '{"head": "a", "relation": "r", "tail": "b"}', '{"head": " ", "relation": "r", "tail": 5}'
+    for said, want in [(f'x {{"triplets": [{good}, {bad}, 7]}} y', (1, 2)), ('{"triplets": []}', (0, 0)), ('{"triplets": 1}', None), (f'{{"triplets": [{good}}}', None), ("no", None), (None, None)]:
+        row = spark.createDataFrame([(said,)], "a string").select(triples.json_counts(F.col("a")).alias("x")).first()["x"]
+        assert (row and tuple(row)) == want
+
+
 @pytest.mark.parametrize("block", [2, 512])
 def test_search_in_blocks(spark, monkeypatch, block):
     import re
