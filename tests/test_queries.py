@@ -122,3 +122,10 @@ def test_section_chunks(spark, sf):
                 kept.append(c)
         want[p["page_id"]] = "|".join(kept)
     assert {r["page_id"]: r["chunks"] for r in QUERIES["kb_section_chunks"](spark, sf).collect()} == want
+
+
+def test_three_hops_take_the_edges_of_the_others(spark, sf):
+    from tessera.operators.paths import find_paths
+    from tessera.sources.adapters import text_edges
+
+    assert QUERIES["paths_exact3"](spark, sf).count() == find_paths(text_edges(spark, sf, 2), exact_length=3).count()
